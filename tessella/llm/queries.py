@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, token_counts
+from . import bpe, decontaminate, quality, simhash, token_counts, urls
 from .common import table
 
 
@@ -22,8 +22,70 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality.ledger(table(spark, sf_dir, "documents"))
+    return quality.apply_policy(entries).select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "failures")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_level_bpe, op3_token_counts, op4_simhash)
+    f.__name__: f for f in (op2_byte_level_bpe, op3_token_counts, op4_simhash, op5_quality_rules, op6_url_filter, op7_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (SELECT k, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
+h AS (SELECT k, p, count(*) OVER (PARTITION BY k, w[p], w[p + 1], w[p + 2]) AS n FROM g),
+c AS (SELECT k, count(DISTINCT p + o) AS n FROM h, range(3) r(o) WHERE n > 1 GROUP BY k),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         len(l) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN c USING (k)),
+f AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (20 * n_symbols > word_chars)::INT
+         + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT + 16 * (2 * n_capitals > word_chars)::INT
+         + 32 * (word_chars > 20 * n_words)::INT + 64 * (word_chars < 2 * n_words)::INT AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed,
+       failures = 0 AS kept, failures FROM f
+""",
+    "op6_url_filter": r"""
+WITH r(action, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+  ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS s FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(s, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(s, '^([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS k FROM u),
+m AS (SELECT k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(action, length(r.host || r.path)) AS action
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (k)
+""",
+    "op7_decontamination": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, w[s:s + 9] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT len(g) AS n FROM win),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (SELECT k, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, n WHERE len(w) >= n),
+h AS (SELECT k, p, n, item_id FROM s JOIN win ON w[p:p + n - 1] = g),
+c AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM h) GROUP BY k),
+l AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN l USING (k)
+""",
+}
