@@ -134,7 +134,7 @@ def encode_documents(
     def score(texts: list[str]) -> list[list]:
         return [list(codec(path, pattern).encode(texts))]
 
-    return map_texts(docs, score, "ids array<int>", text=text)
+    return map_texts(docs, score, ["ids array<int>"], text=text)
 
 
 def decode_documents(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -165,4 +165,4 @@ def round_trip(
             of_bytes.append(hashlib.sha256(tool.decode(ids)).hexdigest())
         return [counts, of_ids, of_bytes]
 
-    return map_texts(docs, score, "n_tokens long, ids_sha256 string, decoded_sha256 string", text=text)
+    return map_texts(docs, score, ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"], text=text)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Separators of white-space words, and of alphanumeric words, as Java patterns.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -31,7 +32,7 @@ def lower_az(text: Column) -> Column:
 def map_texts(
     docs: DataFrame,
     score: Callable[[list[str]], list[list]],
-    schema: str,
+    schema: list[str],
     batch_rows: int = 1000,
     text: str = "text",
 ) -> DataFrame:
@@ -42,17 +43,17 @@ def map_texts(
     """
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}"
+    out = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *schema])
+    types = [f.dataType for f in docs.select(*[F.lit(None).cast(c.split(" ", 1)[1]) for c in schema]).schema]
+    kinds = [to_arrow_type(t) for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = score(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *map(pa.array, columns)], names=["doc_id", *names]
-                )
+                columns = map(pa.array, score(batch.column(1).to_pylist()), kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    names = [part.split()[0] for part in schema.split(",")]
+    names = [column.split(" ", 1)[0] for column in schema]
     return docs.mapInArrow(run, out)
 
 

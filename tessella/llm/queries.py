@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash, token_counts, urls
+from . import bpe, classifier, decontaminate, licenses, lines, quality, shards, simhash, token_counts, urls
 from .common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return classifier.classify(documents, classifier.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_level_bpe, op3_token_counts, op4_simhash, op5_quality_rules, op6_url_filter, op7_decontamination)
+    f.__name__: f
+    for f in (
+        op1_licenses,
+        op2_byte_level_bpe,
+        op3_token_counts,
+        op4_simhash,
+        op5_quality_rules,
+        op6_url_filter,
+        op7_decontamination,
+        op8_line_dedup,
+        op9_sharding,
+        op10_quality_classifier,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -87,5 +119,32 @@ l AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(ite
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (k) LEFT JOIN l USING (k)
+""",
+    "op8_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+r AS (SELECT k, doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM d),
+v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM r WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT *, row_number() OVER o AS seq, sum(w) OVER o AS c FROM v WINDOW o AS (PARTITION BY k ORDER BY pos)),
+s AS (SELECT k, list(line ORDER BY seq) AS a FROM l GROUP BY k),
+runs AS (
+  SELECT x.k, x.seq AS s, min(y.seq) AS e FROM l x JOIN l y ON x.k = y.k AND y.seq >= x.seq AND y.c - x.c + x.w >= 50 GROUP BY ALL
+  UNION SELECT x.k, max(y.seq) AS s, x.seq AS e FROM l x JOIN l y ON x.k = y.k AND y.seq <= x.seq AND x.c - y.c + y.w >= 50 GROUP BY x.k, x.seq),
+named AS (SELECT runs.k, doc_id, s, e, s.a[runs.s:e] AS g FROM runs JOIN s USING (k) JOIN d USING (k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM named),
+gone AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS seq FROM ranked WHERE n > 1),
+lost AS (SELECT k, pos FROM gone JOIN l USING (k, seq)),
+kept AS (SELECT k, string_agg(line, chr(10) ORDER BY pos) AS t FROM r ANTI JOIN lost USING (k, pos) GROUP BY k)
+SELECT doc_id, (SELECT count(*) FROM v WHERE v.k = d.k) AS n_lines, (SELECT count(*) FROM lost WHERE lost.k = d.k) AS n_removed,
+  sha256(coalesce(t, '')) AS text_sha256
+FROM d LEFT JOIN kept USING (k)
+""",
+    "op9_sharding": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+  CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS h FROM documents),
+p AS (SELECT *, CAST(at AS INTEGER) AS depth, h >> (60 - at) AS prefix FROM d, range(41) r(at)),
+t AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR count(*) = 1)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes,
+  shard_bytes <= 1048576 AS fits
+FROM p JOIN t USING (depth, prefix) QUALIFY row_number() OVER (PARTITION BY k ORDER BY depth) = 1
 """,
 }

@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFra
     def score(texts: list[str]) -> list[list]:
         return [[f - (1 << BITS) if f >> (BITS - 1) else f for f in (fingerprint(t, width) for t in texts)]]
 
-    return map_texts(docs, score, "fp long", text=text)
+    return map_texts(docs, score, ["fp long"], text=text)
 
 
 def pivots(n: int = PIVOTS) -> list[int]:

@@ -86,5 +86,5 @@ def count_tokens(docs: DataFrame, path: str = FILE, limit: int = 512, text: str
     def score(texts: list[str]) -> list[list]:
         return [[len(t.encode()) for t in texts], counter(path).counts(texts)]
 
-    counted = map_texts(docs, score, "n_bytes long, n_tokens long", text=text)
+    counted = map_texts(docs, score, ["n_bytes long", "n_tokens long"], text=text)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
