@@ -29,6 +29,14 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once per row even where ``use`` refers to it inside a lambda.
+
+    A plain column may be replaced by its expression when plans are merged, and so be computed for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_texts(
     docs: DataFrame,
     score: Callable[[list[str]], list[list]],

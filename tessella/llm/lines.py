@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, saved
+from .common import SPACES, bound, saved
 
 MIN_WORDS = 50
 _DOC = ("doc_id", "text_id")
@@ -120,8 +120,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     keyed = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("_gone_doc")) & (F.col("_text_id") == F.col("_gone_text")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    cut = bound(
+        lines,
+        lambda x: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"
+        ),
+    )
     worded = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return joined.select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],

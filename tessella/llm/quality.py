@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import bound, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -44,34 +44,32 @@ def mask(version: int) -> int:
     return sum(1 << names.index(name) for name in POLICIES[version])
 
 
-def _windows(words: Column, width: int = 3) -> Column:
+def _windows(words: Column, width: int) -> Column:
     """The windows of ``width`` words as (hash of the words, position), sorted, so that equal ones are neighbours."""
+    window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])
     last = F.size(words) - width
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("p")),
-    )
-    return F.sort_array(F.when(last >= 1, windows))
-
+    starts = F.when(last >= 1, F.sequence(F.lit(0), last))
+    return F.sort_array(F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.alias("p"))))
 
-def _repeat_words(windows: Column, width: int = 3) -> Column:
-    """How many words lie in a window of ``width`` words that the text has twice or more.
 
-    ``windows`` must be a column that is already computed. Windows that equal a neighbour are kept; their sorted
-    positions are walked, adding up the words that each newly covers.
-    """
+def _covered(windows: Column, width: int) -> Column:
+    """Words in windows that equal a neighbour: their sorted positions are walked, adding what each newly covers."""
     equals = lambda x, i: F.coalesce(x["h"] == F.get(windows, i)["h"], F.lit(False))
     again = F.filter(windows, lambda x, i: equals(x, i - 1) | equals(x, i + 1))
-    starts = F.sort_array(F.transform(again, lambda x: x["p"]))
-    covered = F.aggregate(
-        starts,
+    return F.aggregate(
+        F.sort_array(F.transform(again, lambda x: x["p"])),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda done, p: F.struct(
             (done["n"] + p + width - F.greatest(p, done["end"])).alias("n"), (p + width).alias("end")
         ),
         lambda done: done["n"],
     )
-    return F.coalesce(covered, F.lit(0)).cast("long")
+
+
+def _repeat_words(words: Column, width: int = 3) -> Column:
+    """How many words lie in a window of ``width`` words that the text has twice or more."""
+    found = bound(words, lambda w: bound(_windows(w, width), lambda o: _covered(o, width)))
+    return F.coalesce(found, F.lit(0)).cast("long")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,14 +83,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]+", ""))).cast("long").alias("n_capitals"),
     )
-    held = held.withColumn("windows", _windows(F.col("words")))
     return held.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("windows")).alias("n_repeat_words"),
+        _repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         "n_capitals",
     )
