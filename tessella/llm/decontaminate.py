@@ -65,21 +65,25 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
     for n in sorted(row["n"] for row in counts):  # 3, and 1 or 2 if an item is that short
         held = distinct.filter(F.least(F.size("window"), F.lit(SHINGLE)) == n)
         parts = held.select(
-            "window_id", "window", F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset")
+            "window_id",
+            "window",
+            F.size("window").alias("length"),
+            F.array_join("window", " ").alias("phrase"),
+            F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset"),
         ).withColumn("shingle", _shingle(F.col("window"), F.col("offset"), n))
         vocabulary = parts.select("shingle").distinct()
         frequency = shingles_of(texts, n).select("shingle").join(sent(vocabulary), "shingle").groupBy("shingle").agg(F.count("*").alias("df"))
         ranked = parts.join(frequency, "shingle", "left").groupBy("window_id").agg(
-            F.min_by(F.struct("shingle", "offset", "window"), F.struct(F.coalesce("df", F.lit(0)), "shingle", "offset")).alias("r")
+            F.min_by(F.struct("shingle", "offset", "length", "phrase"), F.struct(F.coalesce("df", F.lit(0)), "shingle", "offset")).alias("r")
         )
         needed = saved(ranked.select("window_id", "r.*"))
         start = F.col("at") - F.col("offset")
-        met = shingles_of(texts, n).join(sent(needed), "shingle").select(
-            "doc_id", "text_id", "words", "window_id", "window", start.alias("start"), F.size("window").alias("length")
-        )
-        met = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("words")))
-        there = F.transform(F.slice("words", F.col("start") + 1, F.col("length")), lambda w: F.translate(w, UPPER, LOWER))
-        met = met.filter(there == F.col("window")).select("doc_id", "text_id", "window_id", "start", "length")
+        # All of this compiles into the stage that cuts the shingles: a row leaves it, without words, when verified.
+        met = shingles_of(texts, n).join(sent(needed), "shingle")
+        met = met.filter((start >= 0) & (start + F.col("length") <= F.size("words")))
+        there = F.translate(F.array_join(F.slice("words", start + 1, F.col("length")), " "), UPPER, LOWER)
+        met = met.filter(there == F.col("phrase"))
+        met = met.select("doc_id", "text_id", "window_id", start.alias("start"), "length")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         hits = base.select("doc_id", "text_id", *[F.lit(0).alias(c) for c in ("window_id", "start", "length")]).limit(0)
