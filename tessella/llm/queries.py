@@ -141,7 +141,7 @@ FROM d LEFT JOIN kept USING (k)
     "op9_sharding": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
   CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS h FROM documents),
-p AS (SELECT *, CAST(at AS INTEGER) AS depth, h >> (60 - at) AS prefix FROM d, range(41) r(at)),
+p AS (SELECT *, CAST(b AS INTEGER) AS depth, h >> (60 - b) AS prefix FROM d, range(41) r(b)),
 t AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR count(*) = 1)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes,
   shard_bytes <= 1048576 AS fits
