@@ -27,16 +27,18 @@ def hash_bits(key: Column) -> Column:
 def _directory(cells: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
     """For each ``cell`` of ``depth`` bits: ``at``, the least depth over ``above`` whose bucket fits; else null.
 
-    A bucket of one document fits in any case: it can't be split.
+    A bucket of one document fits in any case: it can't be split. The directory's buckets are the fitting ones below a
+    bucket that doesn't fit. They share out the hash space, so each is met with the cells that it covers.
     """
     deeper = F.explode(F.sequence(F.lit(above), F.lit(depth)))
     spread = cells.withColumn("at", deeper).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - at)"))
     totals = spread.groupBy("at", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_n"))
-    totals = totals.filter((F.col("shard_bytes") <= limit) | (F.col("shard_n") == 1))
-    fitting = spread.join(totals, ["at", "prefix"]).groupBy("cell").agg(
-        F.min(F.struct("at", "prefix", "shard_bytes")).alias("bucket")
-    )
-    return cells.select("cell").join(fitting, "cell", "left").select("cell", "bucket.*")
+    totals = saved(totals.filter((F.col("shard_bytes") <= limit) | (F.col("shard_n") == 1)))
+    fitting = totals.select((F.col("at") + 1).alias("at"), F.col("prefix").alias("parent"))
+    buckets = totals.withColumn("parent", F.shiftright("prefix", 1)).join(fitting, ["at", "parent"], "left_anti")
+    covered = F.expr(f"sequence(shiftleft(prefix, {depth} - at), shiftleft(prefix + 1, {depth} - at) - 1)")
+    of = buckets.select("at", "prefix", "shard_bytes", F.explode(covered).alias("cell"))
+    return cells.select("cell").join(of, "cell", "left").select("cell", "at", "prefix", "shard_bytes")
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,8 +91,10 @@ def _chained(rows: DataFrame, limit: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
     """Writes the documents as Parquet, one folder ``shard=...`` for each shard, each by one task.
 
-    Rows that share a key go to the first of its chained shards, if it has several.
+    Rows that share a key go to the first of its chained shards, if it has several. A column called ``shard`` is
+    replaced by the shard, and so must not be the key.
     """
+    docs = docs.drop("shard")
     shards = assign(docs.withColumn("doc_id", F.col(key)), limit, "doc_id", text)
     shards = shards.groupBy(F.col("doc_id").alias("shard_key")).agg(F.min("shard").alias("shard"))
     placed = docs.join(shards, docs[key].eqNullSafe(F.col("shard_key"))).drop("shard_key")
