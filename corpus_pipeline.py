@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontaminate, lines, quality, simhash
-from tessella.llm.common import table
+from tessella.llm.common import saved, table, text_id
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +28,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumns(changed).select(docs.columns)
 
 
+def _rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with, or without, an entry of their own ``doc_id`` and text in ``found``."""
+    keys = found.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_id() == F.col("_text")), how)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each near-duplicate component, and documents without an id."""
-    found = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_copy"), "left_anti")
+    """Keeps one row of each near-duplicate component: the lowest ``doc_id`` (null last), then text hash.
+
+    Of rows that repeat that id and text the one with the lowest hash of all its columns stays.
+    """
+    found = saved(simhash.surplus(docs))
+    kept = _rows(docs, found, "left_anti")
+    repeated = found.filter("first")
+    if repeated.isEmpty():
+        return kept
+    # The aggregate keeps one row per task and key before the shuffle, however often a row is repeated.
+    same = _rows(docs, repeated, "left_semi").groupBy("doc_id", text_id().alias("_text_id"))
+    one = same.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """Drops the rows whose own text holds a window of a benchmark item."""
+    found = decontaminate.contamination_by_text(docs, table(spark, sf_dir, "benchmark"))
+    return _rows(docs, found.filter("contaminated"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

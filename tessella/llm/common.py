@@ -29,6 +29,11 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_id(text: str = "text") -> Column:
+    """A hash of a text, null as empty: with ``doc_id`` it tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once per row even where ``use`` refers to it inside a lambda.
 

@@ -49,6 +49,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
     null and wordless items have no windows. A null ``item_id`` contaminates but is not counted or listed among the
     items. Rows that share ``doc_id`` and text have equal results; other rows never share hits.
     """
+    return contamination_by_text(docs, items, size, text).drop("text_id")
+
+
+def contamination_by_text(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+    """``contamination`` with ``text_id``, which tells the texts of one ``doc_id`` apart."""
     windows = windows_of(items, size)
     distinct = saved(
         windows.select("window").distinct().withColumn("window_id", F.xxhash64("window"))
@@ -106,6 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
     items_hit = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
+        "text_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items_hit).cast("long").alias("n_items"),

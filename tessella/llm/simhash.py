@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved
+from .common import map_texts, saved, text_id
 
 BITS, SEED = 64, 42
 #: Reference fingerprints: hashes of the numbers from 0 on, eight coordinates to a packed word.
@@ -150,6 +150,17 @@ def linked(fps: DataFrame, k: int = 4) -> DataFrame:
     return components(spokes.unionByName(more))
 
 
+def _classes(first: DataFrame, k: int) -> DataFrame:
+    """``fp`` with ``component_id``, the smallest ``first`` of its component, for distinct ``fp`` with ``first``."""
+    groups = linked(first.select("fp"), k)
+    named = first.join(groups, first["fp"] == groups["node"], "left").select(
+        first["fp"], "first", F.coalesce("label", first["fp"]).alias("label")
+    )
+    named = saved(named)
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return named.join(smallest, "label").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest ``doc_id`` of its component).
 
@@ -157,14 +168,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "te
     back. A null ``doc_id`` never is a ``component_id`` unless its whole component has no other.
     """
     own = saved(fingerprints(docs, width, text))
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = linked(first.select("fp"), k)
-    named = first.join(groups, first["fp"] == groups["node"], "left").select(
-        first["fp"], "first", F.coalesce("label", first["fp"]).alias("label")
-    )
-    named = saved(named)
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "label").select("fp", "component_id")
+    classes = _classes(own.groupBy("fp").agg(F.min("doc_id").alias("first")), k)
     return own.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def surplus(docs: DataFrame, width: int = 4, k: int = 4, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_id``, ``first``, of what has rows to lose if one row of each component is to stay.
+
+    The rows of one ``doc_id`` and text are one entry. The lowest (``doc_id``, ``text_id``) of a component is its
+    ``first``, null ids last, and listed only if it has several rows; all others are listed.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", text_id(text).alias("text_id"))
+    own = saved(fingerprints(docs.select(key.alias("doc_id"), F.col(text).alias("text")), width))
+    entries = own.groupBy(F.col("doc_id").alias("place"), "fp").agg(F.count("*").alias("n"))
+    classes = _classes(own.groupBy("fp").agg(F.min("doc_id").alias("first")), k)
+    judged = entries.join(classes, "fp").withColumn("first", F.col("place") == F.col("component_id"))
+    return judged.filter("n > 1 or not first").select("place.doc_id", "place.text_id", "first")
