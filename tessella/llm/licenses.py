@@ -7,17 +7,70 @@ a gap taken first. Coverage is the share of the template's words that are aligne
 A license may stand anywhere in a long text, more than once. So the stretches to align are found first: in windows
 of one and a half template lengths, the number of words in common, repeats included, bounds the coverage from above.
 A window slides over the positions of template words only; where the bound reaches the threshold it is aligned.
+
+Short notices must align whole, and longer templates in the words that tell them from their siblings. Of stretches
+that lie over each other by more than half, the one with the most aligned words stays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from pkgutil import get_data
 
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
+def _whole(name: str) -> str:
+    return get_data(__package__, f"license_texts/{name}.txt").decode()
+
+
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_TAIL = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(kind: str, version: str, later: bool) -> str:
+    either = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        f"{kind} Public License as published by the Free Software Foundation, {either}"
+    )
+
+
+_GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+_GNU_VERSIONS = [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")]
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
 #: License notices and texts by SPDX identifier; several wordings are told apart after a slash.
 TEMPLATES = {
     "MIT/notice": "Released under the MIT License.",
@@ -27,39 +80,82 @@ TEMPLATES = {
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
         "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
+        f"substantial portions of the Software. {_AS_IS}OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "ISC/notice": "Released under the ISC License.",
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
-        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution."
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
     ),
+    "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
+    "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL,
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
-        "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+        "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+        "the specific language governing permissions and limitations under the License."
     ),
-    "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."
-    ),
-    "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "Apache-2.0/text": _whole("Apache-2.0"),
+    "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0": _whole("MPL-2.0"),
+    **{
+        f"{k}-{v}/notice": f"This work is licensed under the GNU {_GNU[k]} Public License, version {v.removesuffix('.0')}."
+        for k, v in _GNU_VERSIONS
+    },
+    **{
+        f"{k}-{v}-{'or-later' if later else 'only'}": _gnu(_GNU[k], v.removesuffix(".0"), later)
+        for k, v in _GNU_VERSIONS
+        for later in (True, False)
+    },
+    "GPL-2.0": _whole("GPL-2"),
+    "GPL-3.0": _whole("GPL-3"),
+    "LGPL-2.1": _whole("LGPL-2.1"),
+    "LGPL-3.0": _whole("LGPL-3"),
+    **{f"CC-{k}-4.0/notice": f"Licensed under CC {k} 4.0." for k in _CC},
+    **{f"CC-{k}-4.0": f"This work is licensed under a Creative Commons {name} 4.0 International License." for k, name in _CC.items()},
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
-        "publish, use, compile, sell, or distribute this software"
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for "
+        "any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the "
+        "author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to "
+        f"this software under copyright law. {_AS_IS}BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
     ),
 }
+#: Phrases that must align in one piece, as they tell a license from its siblings. Templates of up to ``SHORT`` words must
+#: align whole.
+TELLING = {
+    "BSD-3-Clause": ["endorse or promote"],
+    "Apache-2.0/notice": ["Apache License, Version 2.0"],
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "Apache-2.0/text": ["Apache License Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    **{f"{k}-{v}/notice": [f"GNU {_GNU[k]} Public License", f"version {v.removesuffix('.0')}"] for k, v in _GNU_VERSIONS},
+    **{f"{k}-{v}-only": [f"GNU {_GNU[k]} Public License", f"version {v.removesuffix('.0')} of the License"] for k, v in _GNU_VERSIONS},
+    **{
+        f"{k}-{v}-or-later": [f"GNU {_GNU[k]} Public License", f"version {v.removesuffix('.0')} of the License", "any later version"]
+        for k, v in _GNU_VERSIONS
+    },
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3"],
+    **{f"CC-{k}-4.0/notice": [f"CC {k} 4.0"] for k in _CC},
+    **{f"CC-{k}-4.0": [f"{name} 4.0 International"] for k, name in _CC.items()},
+}
+SHORT = 20
 THRESHOLD = 0.8
 #: Bytes that separate words: ASCII other than letters and digits. Letters are lower-cased.
 _TABLE = bytes((b | 0x20 if 65 <= b <= 90 else b) if b > 127 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -116,27 +212,49 @@ class Scanner:
         self.templates = {name: words_in(text) for name, text in templates.items()}
         self.threshold = threshold
         self.wanted = {name: Counter(words) for name, words in self.templates.items()}
+        self.need = {name: len(words) if len(words) <= SHORT else threshold * len(words) for name, words in self.templates.items()}
+        self.telling = {name: self._places(name) for name in self.templates}
+
+    def _places(self, name: str) -> list[tuple[int, int]]:
+        """First occurrence in a template of each of its telling phrases, and their lengths."""
+        words, phrases = self.templates[name], [words_in(p) for p in TELLING.get(name, [])]
+        starts = [next((i for i in range(len(words)) if words[i : i + len(p)] == p), None) for p in phrases]
+        return [(i, len(p)) for i, p in zip(starts, phrases, strict=True) if i is not None]
+
+    def _tells(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        """Whether all telling phrases are aligned, each in one piece."""
+        at = {j: i for i, j in pairs}
+        return all(c in at and all(at.get(c + i) == at[c] + i for i in range(n)) for c, n in self.telling[name])
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) of each stretch that covers a template, in text order."""
+        """(template, coverage, first word, last word) of each stretch that covers a template best, in text order."""
         words, found = words_in(text), []
         held = Counter(words)
         for name, wanted in self.wanted.items():
+            if len(words) < self.need[name]:
+                continue
             common = sum(min(n, held[word]) for word, n in wanted.items() if word in held)
-            if common and common >= self.threshold * len(self.templates[name]):
+            if common and common >= self.need[name]:
                 at = [i for i, word in enumerate(words) if word in wanted]
-                found += [(name, *x) for x in self._stretches(words, at, self.templates[name])]
-        return sorted(found, key=lambda x: (x[2], -x[3], -x[1], x[0]))
+                found += [(name, *x) for x in self._stretches(words, at, name)]
+        taken, best = bytearray(len(words)), []
+        for x in sorted(found, key=lambda x: (-round(x[1] * len(self.templates[x[0]])), -x[1], x[2], x[0])):
+            first, last = x[2], x[3] + 1
+            if 2 * sum(taken[first:last]) <= last - first:
+                best.append(x)
+                taken[first:last] = b"\1" * (last - first)
+        return sorted(best, key=lambda x: (x[2], -x[3], -x[1], x[0]))
 
-    def _stretches(self, words: list[bytes], at: list[int], template: list[bytes]) -> list[tuple[float, int, int]]:
+    def _stretches(self, words: list[bytes], at: list[int], name: str) -> list[tuple[float, int, int]]:
         """Aligns the windows in which the words in common reach a peak: no more for half a template of words."""
-        need, reach = self.threshold * len(template), len(template) * 3 // 2 + 1
+        template, need = self.templates[name], self.need[name]
+        reach = len(template) * 3 // 2 + 1
         wanted, held, found = Counter(template), Counter(), []
         common = left = free = peak = start = since = 0
 
         def take() -> int:
             pairs = align(words[start : start + reach], template)
-            if len(pairs) < need:
+            if len(pairs) < need or not self._tells(name, pairs):
                 return since
             found.append((len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0]))
             return start + pairs[-1][0] + 1
@@ -165,7 +283,7 @@ def scan_licenses(
     """Per document: ``n_licenses``, ``licenses``, ``best``, ``coverage``, ``start_word``, ``end_word``, ``spans``.
 
     ``spans`` has (license, coverage, start_word, end_word) of every stretch in which ``threshold`` of a template's
-    words align; ``licenses`` the sorted distinct identifiers without wording, comma-joined; ``best`` the template of
+    words align, all in short notices, and no other template aligns more; ``licenses`` the sorted distinct identifiers without wording, comma-joined; ``best`` the template of
     highest coverage, then of more words, then the first in the text, with its figures. Without a license, and for
     null texts, ``n_licenses`` is 0, ``licenses`` empty and the others null. Words are runs of ASCII letters and
     digits, lower-cased, and other characters.
