@@ -169,6 +169,13 @@ def mat_mul(spark, sf_dir) -> DataFrame:
     return e.matmul(e[:20].transpose()).frame().select("i0", "i1", (F.round("v", 4) + 0.0).alias("v"))
 
 
+@query(f"WITH {CELLS} SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2")
+def mat_mul_gram(spark, sf_dir) -> DataFrame:
+    """EᵀE: a product that every row feeds."""
+    e = matrix(spark, sf_dir)
+    return e.transpose().matmul(e).frame().select("i0", "i1", (F.round("v", 4) + 0.0).alias("v"))
+
+
 @query(f"WITH {CELLS} SELECT j AS i0, vec_id AS i1, x AS v FROM e")
 def mat_transpose(spark, sf_dir) -> DataFrame:
     return matrix(spark, sf_dir).transpose().frame()
@@ -243,6 +250,23 @@ def red_tree(spark, sf_dir) -> DataFrame:
     return found
 
 
+@query("""WITH RECURSIVE t AS (SELECT 0 AS level, event_id AS node, CAST(value AS DOUBLE) AS v, count(*) OVER () AS left_ FROM events
+UNION ALL SELECT level, node, v, count(*) OVER () FROM (SELECT level + 1 AS level, node // 4 AS node, sum(v) AS v FROM t WHERE left_ > 1 GROUP BY 1, 2))
+SELECT CAST(level AS INTEGER) AS level, node, round(v, 4) AS v FROM t WHERE level > 0""")
+def red_tree_root(spark, sf_dir) -> DataFrame:
+    """``red_tree`` up to the level of one node."""
+    level, found, r = values(spark, sf_dir).frame().select(F.col("i0").alias("node"), "v"), None, 0
+    low, high = level.agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return level.select(F.lit(0).alias("level"), "node", "v").limit(0)
+    while low != high:
+        r, low, high = r + 1, low // 4, high // 4
+        level = level.groupBy(F.floor(F.col("node") / 4).alias("node")).agg(F.sum("v").alias("v"))
+        here = level.select(F.lit(r).alias("level"), "node", F.round("v", 4).alias("v"))
+        found = here if found is None else found.unionByName(here)
+    return level.select(F.lit(0).alias("level"), "node", "v").limit(0) if found is None else found
+
+
 @query("SELECT coalesce(max(abs(a.value - b.value)), 0) AS residual, bool_and(abs(a.value - b.value) <= 1e-9) AS close, bool_or(isnan(a.value)) AS nan FROM events a JOIN events b USING (event_id)")
 def red_allclose(spark, sf_dir) -> DataFrame:
     a = values(spark, sf_dir)
@@ -294,6 +318,12 @@ def set_union_all(spark, sf_dir) -> DataFrame:
     return e.filter("event_id < 300").unionAll(e.filter("event_id < 100"))
 
 
+@query("SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase'")
+def set_union_whole(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id").unionAll(e.filter("event_type = 'purchase'").select("event_id"))
+
+
 @query("""WITH u AS (SELECT user_id AS k, max(value) AS v, 1 AS side FROM events WHERE event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT user_id, min(value), 2 FROM events WHERE event_id % 3 = 0 GROUP BY 1)
 SELECT k, arg_max(v, side) AS v FROM u GROUP BY k""")
 def set_union_priority(spark, sf_dir) -> DataFrame:

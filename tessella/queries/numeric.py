@@ -70,3 +70,15 @@ def fft2_small(spark, sf_dir) -> DataFrame:
     cells = matrix(spark, sf_dir)[:8, :8].frame().select("i0", "i1", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     found = linalg.fft2(cells, (8, 8))
     return found.select("i0", "i1", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+c AS (SELECT a.j AS r, b.j AS c, sum(a.x * b.x) AS x FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)
+SELECT k AS i0, l AS i1, round(sum(x * cos(-2 * pi() * (k * r + l * c) / 64)), 4) + 0 AS re, round(sum(x * sin(-2 * pi() * (k * r + l * c) / 64)), 4) + 0 AS im
+FROM c, range(64) a(k), range(64) b(l) GROUP BY 1, 2""")
+def fft2_gram(spark, sf_dir) -> DataFrame:
+    """The transform of EᵀE, which every row feeds."""
+    e = matrix(spark, sf_dir)
+    cells = e.transpose().matmul(e).frame().select("i0", "i1", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    found = linalg.fft2(cells, (64, 64))
+    return found.select("i0", "i1", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
