@@ -34,11 +34,15 @@ DIM = 12 + BINS
 
 
 def features(text: str) -> list[float]:
-    """The form of one whole text as ``DIM`` numbers; zeros without a word."""
+    """The form of one whole text as ``DIM`` numbers.
+
+    Without a word: the intercept, lengths and shares of characters of 0, and the shares of repetition that one word has.
+    """
     raw = text.encode()
     words = raw.split()
     out = [0.0] * DIM
     if not words:
+        out[0] = out[8] = out[9] = out[10] = out[11] = 1.0
         return out
     n, size = len(words), len(raw)
     shape = raw.translate(_SHAPE)
@@ -116,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 def classify(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1, higher for better), ``predicted`` (1 if 0.5 or more).
 
-    Whole texts are scored, null as empty; a text without words has the score of no features, one half, unless
-    the model says otherwise. One row comes out for each row.
+    Whole texts are scored, null as empty; a text without words is scored like a
+    text of one word without characters. One row comes out for each row.
     """
 
     def score(texts: list[str]) -> list[list]:
