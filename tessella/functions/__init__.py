@@ -6,15 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def floor_mod(a: Column, b: Column) -> Column:
+def int_div(a: Column, b: Column | int) -> Column:
+    """Quotient of integers rounded toward zero, exact in 64 bits; null for a zero divisor."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return F.when(b != 0, F.call_function("div", a, b))
+
+
+def _turned(r: Column, b: Column) -> Column:
+    """Whether a remainder has the other sign than its divisor, so that rounding down goes one further."""
+    return (r != 0) & ((r < 0) != (b < 0))
+
+
+def floor_mod(a: Column, b: Column | int) -> Column:
     """Remainder with the sign of the divisor; null for a zero divisor."""
-    return F.when(b != 0, ((a % b) + b) % b)
+    b = F.lit(b) if isinstance(b, int) else b
+    r = F.try_mod(a, b)
+    return F.when(_turned(r, b), r + b).otherwise(r)
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    """Quotient rounded down, for integers; null for a zero divisor."""
-    exact = (a - floor_mod(a, b)) / b
-    return F.when(b != 0, F.round(exact).cast("long"))
+def floor_div(a: Column, b: Column | int) -> Column:
+    """Quotient rounded down, for integers, exact in 64 bits; null for a zero divisor."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return (int_div(a, b) - _turned(F.try_mod(a, b), b).cast("int")).cast("long")
 
 
 def true_div(a: Column, b: Column) -> Column:
@@ -44,18 +57,42 @@ def compare(a: Column, op: str, b: Column) -> Column:
 def slice_index(i: Column, start: int, stop: int, step: int = 1) -> tuple[Column, Column]:
     """For a strided slice: which positions of ``i`` it holds, and where they go."""
     if step > 0:
-        return (i >= start) & (i < stop) & ((i - start) % step == 0), ((i - start) / step).cast("long")
-    return (i <= start) & (i > stop) & ((start - i) % -step == 0), ((start - i) / -step).cast("long")
+        return (i >= start) & (i < stop) & ((i - start) % step == 0), int_div(i - start, step)
+    return (i <= start) & (i > stop) & ((start - i) % -step == 0), int_div(start - i, -step)
 
 
 def shard_of(i: Column, n: int | Column, shards: int) -> Column:
     """The shard of row i of n where shard g has rows [g*n/shards, (g+1)*n/shards), rounded down."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.floor(((i + 1) * shards - 1) / n).cast("int")
+    return int_div((i.cast("long") + 1) * shards - 1, n).cast("int")
+
+
+def shard_of_cell(axes: list[Column], shape: tuple[int, ...], grid: tuple[int, ...]) -> Column:
+    """The shard, numbered row by row, of a cell of an array that is split along each axis into ``grid`` parts."""
+    found = F.lit(0)
+    for i, n, g in zip(axes, shape, grid, strict=True):
+        found = found * g + shard_of(i, n, g)
+    return found.cast("int")
+
+
+def ravelled(axes: list[Column], shape: tuple[int, ...]) -> Column:
+    """The row-major position of a cell."""
+    found = F.lit(0).cast("long")
+    for i, n in zip(axes, shape, strict=True):
+        found = found * n + i
+    return found
+
+
+def unravelled(flat: Column, shape: tuple[int, ...]) -> list[Column]:
+    """The cell at a row-major position."""
+    out = []
+    for n in reversed(shape):
+        out.append(floor_mod(flat, n).cast("long"))
+        flat = floor_div(flat, n)
+    return out[::-1]
 
 
 def block_of(i: Column, size: int) -> Column:
-    return F.floor(i / size).cast("long")
+    return floor_div(i, size)
 
 
 def task_name(space: Column, index: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .positions import materialised
+from .positions import written
 
 
 def independent(spark: SparkSession, n: int, partitions: int = 64) -> DataFrame:
@@ -140,11 +140,11 @@ def order_violations(edges: DataFrame, times: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """``node``, ``level``: the longest path to each node from one without parents. The edges must have no cycle."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found = materialised(nodes.select("node", F.lit(0).alias("level")))
+    found = written(nodes.select("node", F.lit(0).alias("level")))
     while True:
         pushed = edges.join(found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("up")), "src").groupBy("dst").agg(F.max("up").alias("up"))
         after = found.join(pushed, found["node"] == pushed["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
-        after = materialised(after)
+        after = written(after)
         found = after.select("node", "level")
         if after.filter("old <> level").isEmpty():
             return found

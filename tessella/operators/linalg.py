@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import materialised
+from .positions import written
 
 
 def _as(tile, nr, nc) -> np.ndarray:
@@ -45,10 +45,10 @@ def cholesky(tiles: DataFrame, blocks: int) -> DataFrame:
         left = factor.select("bi", F.col("bj").alias("k_at"), F.col("nc").alias("k"), F.col("data").alias("a"))
         top = factor.filter(F.col("bi") == j).select(F.col("bj").alias("k_at"), F.col("data").alias("b"))
         joined = panel.join(left, "bi", "left").join(top, "k_at", "left").select("bi", "bj", "nr", "nc", "data", "k", "a", "b")
-        updated = materialised(joined.groupBy("bi", "bj").applyInPandas(product, schema))
+        updated = written(joined.groupBy("bi", "bj").applyInPandas(product, schema))
         diagonal = updated.filter(F.col("bi") == j).select(F.col("data").alias("d"))
         solved = updated.crossJoin(F.broadcast(diagonal)).groupBy("bi", "bj").applyInPandas(solve, schema)  # one tile
-        factor = materialised(factor.unionByName(solved))
+        factor = written(factor.unionByName(solved))
     return factor
 
 
