@@ -2,19 +2,24 @@
 
 1. A fingerprint for each document: of all hashes of its word shingles, repeats included, a bit is 1 if it is set in
    over half. Documents with one fingerprint become one row, so copies cost nothing from here on.
-2. Each fingerprint gets its row of the pivot table: its Hamming distances to fixed reference fingerprints. By the
-   triangle inequality two fingerprints within k bits differ by k at most in every coordinate.
-3. Pairs meet in blocks: the bits are dealt into ``k + s`` groups, so that fingerprints within k bits agree on s
+2. Fingerprints are dealt to blocks: the bits form ``k + s`` groups, so that fingerprints within k bits agree on s
    groups at least; each choice of s groups is a block key. s grows with the number of fingerprints, so that the
-   expected number of chance meetings stays in proportion to it. Nothing is capped.
-4. Within a block, the member with the lowest fingerprint serves as a pivot from the data: each member within k bits
-   of it is linked to it. That joins dense groups without their pairs. Then the pairs of each block that aren't yet
-   known to be connected are discarded by the largest coordinate difference, and the survivors are verified.
-5. Components of the links by minimum labels and pointer jumping, on tables that stay distributed.
+   expected number of chance meetings stays in proportion to it.
+3. What meets another in a block gets its row of the pivot table: its Hamming distances to fixed reference
+   fingerprints. By the triangle inequality two fingerprints within k bits differ by k at most in every coordinate;
+   every pair below is discarded by its largest coordinate difference or else verified.
+4. The member of a block with the lowest fingerprint serves as a pivot from the data: each member within k bits of it
+   is linked to it. That joins dense groups without their pairs. Blocks whose members are all connected are done. In
+   the others the members outside the largest connected part meet all members that aren't known to be connected.
+5. A block with many members outside its largest part is dealt again first, by groups of other bits, until none is
+   crowded or its bits are used up. That changes which pairs are compared, never which links are found.
+6. Components of the links by minimum labels and pointer jumping, on tables that stay distributed.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -23,25 +28,48 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, text_id
+from .common import map_texts, saved, text_id, written
 
 BITS, SEED = 64, 42
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Reference fingerprints: hashes of the numbers from 0 on, eight coordinates to a packed word.
 PIVOTS, PACKED = 16, 8
+#: Members outside a block's largest connected part from which on it is dealt again, and how often that is done. Both
+#: only say how pairs are found: a block that is still crowded then is compared as it is.
+CROWD, ROUNDS = 1024, 4
+
+
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, those of about ``size`` bytes at a time."""
+    start = 0
+    while start < len(raw):
+        space = _SPACE.search(raw, start + size)
+        end = space.start() if space else len(raw)
+        yield raw[start:end].split()
+        start = end
+
+
+def fingerprint(text: str, width: int = 4, size: int = 1 << 20) -> int:
+    """The SimHash of a text's word shingles as an unsigned number; 0 without words. ``size`` bounds memory."""
+    ones, count, held = np.zeros(BITS, np.int64), 0, []
+    for words in pieces(text.encode().lower(), size):
+        held += words
+        shingles = [b" ".join(held[i : i + width]) for i in range(len(held) - width + 1)]
+        held = held[len(shingles) :]
+        count += len(shingles)
+        ones += _ones(shingles)
+    if not count and held:  # fewer words than a shingle
+        count, ones = 1, _ones([b" ".join(held)])
+    return sum(1 << i for i in np.flatnonzero(2 * ones > count).tolist())
 
 
-def fingerprint(text: str, width: int = 4, block: int = 1 << 16) -> int:
-    """The SimHash of a text's word shingles as an unsigned number; 0 without words. ``block`` bounds memory."""
-    words = text.encode().lower().split()
-    count = max(1, len(words) - width + 1) if words else 0
+def _ones(shingles: list[bytes]) -> np.ndarray:
+    """How many of the shingles' hashes have each bit set."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
     ones = np.zeros(BITS, np.int64)
-    for start in range(0, count, block):
-        part = words[start : min(start + block, count) + width - 1]
-        shingles = [b" ".join(part[i : i + width]) for i in range(min(block, count - start))]
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-        for some in np.array_split(hashes, len(hashes) // 4096 + 1):
-            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > count).tolist())
+    for some in np.array_split(hashes, len(hashes) // 4096 + 1):
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ones
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
@@ -58,15 +86,15 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [f - (1 << BITS) if f >> (BITS - 1) else f for f in found]
 
 
-def pivot_table(fps: DataFrame, n: int = PIVOTS) -> DataFrame:
-    """Adds the distances to the n references, packed as bytes of the longs ``t0``, ``t1``, ..."""
-    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long") for p in pivots(n)]
+def pivot_table(fps: DataFrame, fp: str = "fp", prefix: str = "", n: int = PIVOTS) -> DataFrame:
+    """Adds the distances of ``fp`` to the n references, packed as bytes of the longs ``t0``, ``t1``, ..."""
+    distances = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(p))).cast("long") for p in pivots(n)]
     packed = {}
     for i in range(0, n, PACKED):
         word = F.lit(0).cast("long")
         for j, d in enumerate(distances[i : i + PACKED]):
             word = word.bitwiseOR(F.shiftleft(d, 8 * j))
-        packed[f"t{i // PACKED}"] = word
+        packed[f"{prefix}t{i // PACKED}"] = word
     return fps.withColumns(packed)
 
 
@@ -90,64 +118,100 @@ def agreeing_groups(n: int, k: int) -> int:
     return agreed
 
 
-def block_keys(k: int, agreed: int) -> list[int]:
-    """A mask of bits for each choice of ``agreed`` among ``k + agreed`` groups of bits."""
-    groups = k + agreed
+def splitting_groups(n: int, k: int, free: int, crowd: int) -> int:
+    """How many groups must agree, so that n members of a block with ``free`` bits left fall to blocks of a quarter crowd."""
+    return next((s for s in range(1, 5) if 4 * n >> free * s // (k + s) <= crowd), 5)
+
+
+def block_keys(k: int, agreed: int, turn: int = 0) -> list[int]:
+    """A mask of bits for each choice of ``agreed`` among ``k + agreed`` groups of bits; ``turn`` groups others together."""
+    groups, step = k + agreed, (1, 13, 29, 43, 55)[turn % 5]  # odd, so that bit i * step of 64 is another for each i
     edges = [BITS * i // groups for i in range(groups + 1)]
-    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(groups)]
+    masks = [sum(1 << i * step % BITS for i in range(edges[g], edges[g + 1])) for g in range(groups)]
     found = [sum(masks[i] for i in chosen) for chosen in combinations(range(groups), agreed)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in found]
 
 
+def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """Each row once for each of the masks, in the block that its bits under ``mask`` and those name."""
+    more = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
+    at = rows.withColumn("more", more).withColumn("mask", F.col("mask").bitwiseOR(F.col("more"))).drop("more")
+    return at.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """The connected components of links ``a``, ``b``: each node with the smallest one in its component, as ``label``.
 
     Rounds of taking the lowest label among the neighbours, then the label of the label, until nothing changes.
     """
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         lower = labels.join(heard, labels["node"] == heard["a"]).select("node", "label", F.least("label", "heard").alias("new"))
         hop = lower.select(F.col("node").alias("new"), F.col("new").alias("hop"))
         after = lower.join(hop, "new").select("node", F.col("label").alias("old"), F.least("new", "hop").alias("label"))
-        after = saved(after)
+        after = written(after)
         labels = after.select("node", "label")
         if after.filter("old <> label").isEmpty():
             return labels
 
 
-def linked(fps: DataFrame, k: int = 4) -> DataFrame:
-    """Each distinct fingerprint of ``fp`` that has a link of at most k bits, with the smallest of its component."""
-    table = saved(pivot_table(fps.select("fp").distinct()))
-    keys = block_keys(k, agreeing_groups(table.count(), k))
-    dealt = table.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in keys]))).withColumn(
-        "part", F.col("fp").bitwiseAND(F.col("mask"))
-    )
-    heads = dealt.groupBy("mask", "part").agg(F.min("fp").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= k
-    shared = saved(dealt.join(heads.select("mask", "part", "head"), ["mask", "part"]))
-    stars = shared.filter(near & (F.col("fp") != F.col("head"))).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    stars = saved(stars)
-    labels = components(stars)
-    labelled = shared.join(labels, shared["fp"] == labels["node"], "left").select(
-        "mask", "part", "fp", "t0", "t1", F.coalesce("label", "fp").alias("label")
+_BLOCK = ["mask", "part"]
+
+
+def _stars(shared: DataFrame, k: int) -> DataFrame:
+    """Links of the members of each block to its lowest one, ``head``, where they are within k bits of it."""
+    both = pivot_table(shared.select("fp", "t0", "t1", F.col("head").alias("a_fp")), "a_fp", "a_")
+    near = (F.col("fp") != F.col("a_fp")) & within("", "a_", k) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= k)
+    return both.filter(near).select(F.col("fp").alias("a"), F.col("a_fp").alias("b"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of blocks that hold several labels, with the block's commonest, ``major``, and how many have ``others``."""
+    counts = members.groupBy(*_BLOCK, "label").agg(F.count("*").alias("n"))
+    blocks = counts.groupBy(*_BLOCK).agg(
+        F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("others")
     )
-    labelled = saved(labelled)
-    x = labelled.select("mask", "part", *[F.col(c).alias(f"x_{c}") for c in ("fp", "t0", "t1", "label")])
-    y = labelled.select("mask", "part", *[F.col(c).alias(f"y_{c}") for c in ("fp", "t0", "t1", "label")])
-    met = x.join(
-        y,
-        (x["mask"] == y["mask"])
-        & (x["part"] == y["part"])
-        & (F.col("x_fp") < F.col("y_fp"))
-        & (F.col("x_label") != F.col("y_label"))
-        & within("x_", "y_", k)
-        & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= k),
+    return members.join(blocks.filter("others > 0"), _BLOCK)
+
+
+def _pairs(opened: DataFrame, k: int) -> DataFrame:
+    """Links ``a``, ``b`` between labels, from the pairs of each block within k bits of each other."""
+    x = opened.select(*_BLOCK, *[F.col(c).alias(f"x_{c}") for c in ("fp", "t0", "t1", "label")])
+    y = opened.filter("label <> major").select(*_BLOCK, *[F.col(c).alias(f"y_{c}") for c in ("fp", "t0", "t1", "label")])
+    met = x.join(y, _BLOCK).filter(
+        (F.col("x_label") != F.col("y_label")) & within("x_", "y_", k) & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= k)
     )
-    more = met.select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct()
+    return met.select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct()
+
+
+def linked(fps: DataFrame, k: int = 4, crowd: int = CROWD) -> DataFrame:
+    """Each distinct fingerprint of ``fp`` that has a link of at most k bits, with the smallest of its component."""
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = fps.select("fp").distinct()
+    keys = block_keys(k, agreeing_groups(table.count(), k))
+    # As many tasks as a shuffle has: a small table would come in a few partitions, and each row becomes many here.
+    rows = dealt(table.repartition(spread, "fp").withColumn("mask", F.lit(0).cast("long")), keys)
+    heads = rows.groupBy(*_BLOCK).agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = saved(pivot_table(rows.join(heads, _BLOCK)))
+    labels = components(_stars(shared, k))
+    label = F.coalesce("label", "fp").alias("label")
+    opened = saved(_open(shared.join(labels, shared["fp"] == labels["node"], "left").select(*_BLOCK, "fp", "t0", "t1", label)))
+    found = None
+    for turn in range(1, ROUNDS + 1):
+        crowded = F.col("others") > crowd
+        most = opened.filter(crowded).agg(F.max("others"), F.min(F.lit(BITS) - F.bit_count("mask"))).first()
+        if turn == ROUNDS or most[0] is None:
+            break
+        quiet = _pairs(opened.filter(~crowded), k)
+        found = quiet if found is None else found.unionByName(quiet)
+        again = opened.filter(crowded).drop("major", "others").repartition(spread, "fp")
+        opened = saved(_open(dealt(again, block_keys(k, splitting_groups(most[0], k, most[1], crowd), turn))))
+    last = _pairs(opened, k)
+    found = last if found is None else found.unionByName(last)
     spokes = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return components(spokes.unionByName(more))
+    return components(spokes.unionByName(found))
 
 
 def _classes(first: DataFrame, k: int) -> DataFrame:
@@ -156,7 +220,6 @@ def _classes(first: DataFrame, k: int) -> DataFrame:
     named = first.join(groups, first["fp"] == groups["node"], "left").select(
         first["fp"], "first", F.coalesce("label", first["fp"]).alias("label")
     )
-    named = saved(named)
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return named.join(smallest, "label").select("fp", "component_id")
 

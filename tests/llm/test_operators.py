@@ -136,7 +136,7 @@ def test_simhash_components(docs, nothing):
     assert {k: r["component_id"] for k, r in found.items()} == plain_components(prints)
     assert found[4]["component_id"] == found[6]["component_id"] == 4
     assert simhash.near_duplicates(nothing).count() == 0
-    assert simhash.fingerprint(LONG, block=1000) == plain_fingerprint(LONG)
+    assert simhash.fingerprint(LONG, size=1000) == plain_fingerprint(LONG)
 
 
 def test_simhash_chains_and_dense_groups(spark):
