@@ -6,7 +6,9 @@ a gap taken first. Coverage is the share of the template's words that are aligne
 
 A license may stand anywhere in a long text, more than once. So the stretches to align are found first: in windows
 of one and a half template lengths, the number of words in common, repeats included, bounds the coverage from above.
-A window slides over the positions of template words only; where the bound reaches the threshold it is aligned.
+A window begins at each template word of the text; of neighbouring windows whose bound reaches the threshold those of
+highest bound are aligned first, until no other can cover more. Of a template of 200 words or more, each hundredth
+part of its length is a place where a window begins, and so is the place of highest bound.
 
 Short notices must align whole, and longer templates in the words that tell them from their siblings. Of stretches
 that lie over each other by more than half, the one with the most aligned words stays.
@@ -14,7 +16,7 @@ that lie over each other by more than half, the one with the most aligned words
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from pkgutil import get_data
 
@@ -245,37 +247,61 @@ class Scanner:
                 taken[first:last] = b"\1" * (last - first)
         return sorted(best, key=lambda x: (x[2], -x[3], -x[1], x[0]))
 
+    def _bounds(self, words: list[bytes], at: list[int], low: int, high: int, name: str) -> list[int]:
+        """For the window that begins at each of the template words low to high: its words in common, repeats included."""
+        wanted, reach = self.wanted[name], len(self.templates[name]) * 3 // 2 + 1
+        held, common, right, out = Counter(), 0, low, []
+        for left in range(low, high):
+            while right < high and at[right] < at[left] + reach:
+                word = words[at[right]]
+                held[word] += 1
+                common += held[word] <= wanted[word]
+                right += 1
+            out.append(common)
+            word = words[at[left]]
+            common -= held[word] <= wanted[word]
+            held[word] -= 1
+        return out
+
+    def _best(self, words: list[bytes], starts: list[tuple[int, int]], end: int, name: str) -> list[tuple[int, int]]:
+        """The alignment of most words from one of ``starts`` (less its bound, place in the text) on; empty if none will do."""
+        template, best = self.templates[name], []
+        for bound, start in sorted(starts):
+            if -bound <= len(best):
+                break
+            pairs = align(words[start : min(end, start + len(template) * 3 // 2 + 1)], template)
+            if len(pairs) >= self.need[name] and len(pairs) > len(best) and self._tells(name, pairs):
+                best = [(start + i, j) for i, j in pairs]
+        return best
+
     def _stretches(self, words: list[bytes], at: list[int], name: str) -> list[tuple[float, int, int]]:
-        """Aligns the windows in which the words in common reach a peak: no more for half a template of words."""
-        template, need = self.templates[name], self.need[name]
-        reach = len(template) * 3 // 2 + 1
-        wanted, held, found = Counter(template), Counter(), []
-        common = left = free = peak = start = since = 0
-
-        def take() -> int:
-            pairs = align(words[start : start + reach], template)
-            if len(pairs) < need or not self._tells(name, pairs):
-                return since
-            found.append((len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0]))
-            return start + pairs[-1][0] + 1
-
-        for right, i in enumerate(at):
-            if peak and i > since + len(template) // 2:
-                free, peak = take(), 0
-            held[words[i]] += 1
-            common += held[words[i]] <= wanted[words[i]]
-            while left <= right and at[left] < max(i - reach + 1, free):
-                common -= held[words[at[left]]] <= wanted[words[at[left]]]
-                held[words[at[left]]] -= 1
-                left += 1
-            if common >= need and common > peak:
-                peak, start, since = common, at[left], i
-            if common == len(template):
-                free, peak = take(), 0
-        if peak:
-            take()
+        """Coverage, first and last word of the best alignments, none over another. ``at``: places of template words."""
+        size, need, found, todo = len(self.templates[name]), self.need[name], [], [(0, len(at))]
+        if not all(self._occurs(words, at, self.templates[name][c : c + n]) for c, n in self.telling[name]):
+            return []
+        while todo:
+            low, high = todo.pop()
+            bounds, i = self._bounds(words, at, low, high, name), low
+            while i < high:
+                if bounds[i - low] < need:
+                    i += 1
+                    continue
+                after = bisect_right(at, at[i] + size * 3 // 2 + 1, i, high)
+                near = [(-bounds[j - low], at[j]) for j in range(i, after) if bounds[j - low] >= need]
+                best = self._best(words, [*near[:: max(1, size // 100)], min(near)], at[high - 1] + 1, name)
+                if not best:
+                    i = after
+                    continue
+                found.append((len(best) / size, best[0][0], best[-1][0]))
+                first = bisect_left(at, best[0][0])
+                if first - i >= need:  # room for another one before it
+                    todo.append((i, first))
+                i = bisect_right(at, best[-1][0])
         return found
 
+    def _occurs(self, words: list[bytes], at: list[int], phrase: list[bytes]) -> bool:
+        return any(words[i] == phrase[0] and words[i : i + len(phrase)] == phrase for i in at)
+
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text"
@@ -283,10 +309,12 @@ def scan_licenses(
     """Per document: ``n_licenses``, ``licenses``, ``best``, ``coverage``, ``start_word``, ``end_word``, ``spans``.
 
     ``spans`` has (license, coverage, start_word, end_word) of every stretch in which ``threshold`` of a template's
-    words align, all in short notices, and no other template aligns more; ``licenses`` the sorted distinct identifiers without wording, comma-joined; ``best`` the template of
-    highest coverage, then of more words, then the first in the text, with its figures. Without a license, and for
-    null texts, ``n_licenses`` is 0, ``licenses`` empty and the others null. Words are runs of ASCII letters and
-    digits, lower-cased, and other characters.
+    words align, all in short notices, and no other template aligns more; of two that align alike, the one of higher
+    coverage, then the first in the text, then the first name. ``licenses`` has the sorted distinct identifiers without
+    wording, comma-joined; ``best`` the template of highest coverage, then of more words, then the first in the text,
+    with its figures. Without a license, and for null and empty texts, ``n_licenses`` is 0, ``licenses`` empty and the
+    others null. One row comes out for each row, null and repeated ids included; other columns are ignored. Words are
+    runs of ASCII letters and digits, lower-cased, and other characters.
     """
 
     def score(texts: list[str]) -> list[list]:
