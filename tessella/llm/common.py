@@ -43,6 +43,18 @@ def text_id(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of the frame has, whatever the case of its letters."""
+    taken, found = {c.lower() for c in frame.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own in taken:
+            own = f"_{own}"
+        taken.add(own)
+        found.append(own)
+    return found
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once per row even where ``use`` refers to it inside a lambda.
 

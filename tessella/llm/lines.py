@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, bound, saved
+from .common import SPACES, bound, saved, text_id, unused
 
 MIN_WORDS = 50
 _DOC = ("doc_id", "text_id")
@@ -106,29 +106,33 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     return lost.groupBy(*_DOC).agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
     """The rows of ``docs`` without the lines of later copies, and ``n_lines``, ``n_removed`` (lines with a word).
 
     A run of lines is repeated if it has ``min_words`` words or more and occurs elsewhere, earlier in its own
     document included; the occurrence in the lowest ``doc_id`` (null last) and line stays. Lines without a word are
     ignored in runs and stay. Rows with equal ``doc_id`` and text are one document and all come back alike. A text
-    that loses all lines becomes empty; null stays null. Columns called ``n_lines`` or ``n_removed`` are replaced.
+    that loses all lines becomes empty; null stays null. Columns of the names of the counts, ``names``, are replaced;
+    all others come back, whatever their names.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*names)
+    gone_doc, gone_text, gone_at, own = unused(docs, "gone_doc", "gone_text", "gone", "text_hash")
     gone = saved(later_copies(docs, min_words, text))
-    gone = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("text_id").alias("_gone_text"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_text_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("_gone_doc")) & (F.col("_text_id") == F.col("_gone_text")), "left")
+    gone = gone.select(F.col("doc_id").alias(gone_doc), F.col("text_id").alias(gone_text), F.col("gone").alias(gone_at))
+    keyed = docs.withColumn(own, text_id(text))
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col(gone_doc)) & (F.col(own) == F.col(gone_text)), "left")
     lines = F.split(F.col(text), "\n")
     cut = bound(
         lines,
         lambda x: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone_at)), lambda i: F.get(x, i)), "\n"
         ),
     )
     worded = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(worded).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(gone_at).isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        F.when(F.col(text).isNull(), 0).otherwise(worded).cast("long").alias(names[0]),
+        F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(names[1]),
     )
