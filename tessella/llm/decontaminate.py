@@ -18,8 +18,10 @@ from .common import LOWER, NOT_ALNUM, UPPER, saved, words_of
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Windows up to which their table is sent to all executors; about 1 KB each with all columns. More are shuffled.
-BROADCAST_WINDOWS = 50_000
+_DOC = ("doc_id", "text_id")
+#: Bytes of the tables of windows and of their shingles up to which they are sent to all executors. Larger ones are
+#: shuffled, and then a document's shingles go without its words, which are fetched for what is to be verified.
+BROADCAST_BYTES = 32 << 20
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
@@ -42,17 +44,46 @@ def shingles_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("at", at).withColumn("shingle", _shingle(F.col("words"), F.col("at"), n))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+def _frequency(texts: DataFrame, parts: DataFrame, n: int, small: bool) -> DataFrame:
+    """``shingle``, ``df``: how often each shingle of the windows occurs in all documents."""
+    vocabulary = parts.select("shingle").distinct()
+    cut = shingles_of(texts, n).select("shingle")
+    if small:
+        return cut.join(F.broadcast(vocabulary), "shingle").groupBy("shingle").agg(F.count("*").alias("df"))
+    return cut.groupBy("shingle").agg(F.count("*").alias("df")).join(vocabulary, "shingle")
+
+
+def _verified(texts: DataFrame, needed: DataFrame, n: int, small: bool) -> DataFrame:
+    """Occurrences ``doc_id``, ``text_id``, ``window_id``, ``start``, ``length`` of the windows of ``needed``."""
+    start = F.col("at") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    there = F.translate(F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " "), UPPER, LOWER) == F.col("phrase")
+    cut = shingles_of(texts, n).withColumn("n_words", F.size("words"))
+    if small:  # compiles into the stage that cuts the shingles: a row leaves it, without words, when verified
+        found = cut.join(F.broadcast(needed), "shingle").filter(inside).withColumn("start", start).filter(there)
+    else:
+        met = cut.select(*_DOC, "at", "shingle", "n_words").join(needed, "shingle").filter(inside)
+        met = met.select(F.col("doc_id").alias("met_id"), F.col("text_id").alias("met_text"), "window_id", start.alias("start"), "length", "phrase").distinct()
+        own = texts.dropDuplicates(list(_DOC))
+        found = met.join(own, own["doc_id"].eqNullSafe(F.col("met_id")) & (own["text_id"] == F.col("met_text"))).filter(there)
+    return found.select(*_DOC, "window_id", "start", "length")
+
+
+def contamination(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     A word is hit if it lies inside an occurrence of a window. Null and wordless texts have no words and no hits;
     null and wordless items have no windows. A null ``item_id`` contaminates but is not counted or listed among the
     items. Rows that share ``doc_id`` and text have equal results; other rows never share hits.
     """
-    return contamination_by_text(docs, items, size, text).drop("text_id")
+    return contamination_by_text(docs, items, size, text, broadcast_bytes).drop("text_id")
 
 
-def contamination_by_text(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+def contamination_by_text(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``contamination`` with ``text_id``, which tells the texts of one ``doc_id`` apart."""
     windows = windows_of(items, size)
     distinct = saved(
@@ -62,9 +93,10 @@ def contamination_by_text(docs: DataFrame, items: DataFrame, size: int = WINDOW,
     keyed = docs.select("doc_id", F.xxhash64(whole).alias("text_id"), whole.alias("whole"))
     base = keyed.select("doc_id", "text_id", F.size(words_of(F.col("whole"), NOT_ALNUM)).cast("long").alias("n_words"))
     texts = keyed.select("doc_id", "text_id", words_of(F.col("whole"), NOT_ALNUM).alias("words"))
-    counts = distinct.groupBy(F.least(F.size("window"), F.lit(SHINGLE)).alias("n")).count().collect()
-    small = sum(row["count"] for row in counts) <= BROADCAST_WINDOWS
-    sent = F.broadcast if small else (lambda frame: frame)
+    # A row of ``needed`` holds a window's words and a few numbers; the vocabulary has 8 bytes for each shingle.
+    held = F.sum(F.octet_length(F.array_join("window", " ")) + 64 + 16 * F.size("window"))
+    counts = distinct.groupBy(F.least(F.size("window"), F.lit(SHINGLE)).alias("n")).agg(held.alias("bytes")).collect()
+    small = sum(row["bytes"] for row in counts) <= broadcast_bytes
 
     hits = None
     for n in sorted(row["n"] for row in counts):  # 3, and 1 or 2 if an item is that short
@@ -76,19 +108,12 @@ def contamination_by_text(docs: DataFrame, items: DataFrame, size: int = WINDOW,
             F.array_join("window", " ").alias("phrase"),
             F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset"),
         ).withColumn("shingle", _shingle(F.col("window"), F.col("offset"), n))
-        vocabulary = parts.select("shingle").distinct()
-        frequency = shingles_of(texts, n).select("shingle").join(sent(vocabulary), "shingle").groupBy("shingle").agg(F.count("*").alias("df"))
+        frequency = _frequency(texts, parts, n, small)
         ranked = parts.join(frequency, "shingle", "left").groupBy("window_id").agg(
             F.min_by(F.struct("shingle", "offset", "length", "phrase"), F.struct(F.coalesce("df", F.lit(0)), "shingle", "offset")).alias("r")
         )
         needed = saved(ranked.select("window_id", "r.*"))
-        start = F.col("at") - F.col("offset")
-        # All of this compiles into the stage that cuts the shingles: a row leaves it, without words, when verified.
-        met = shingles_of(texts, n).join(sent(needed), "shingle")
-        met = met.filter((start >= 0) & (start + F.col("length") <= F.size("words")))
-        there = F.translate(F.array_join(F.slice("words", start + 1, F.col("length")), " "), UPPER, LOWER)
-        met = met.filter(there == F.col("phrase"))
-        met = met.select("doc_id", "text_id", "window_id", start.alias("start"), "length")
+        met = _verified(texts, needed, n, small)
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         hits = base.select("doc_id", "text_id", *[F.lit(0).alias(c) for c in ("window_id", "start", "length")]).limit(0)
