@@ -140,11 +140,17 @@ FROM d LEFT JOIN kept USING (k)
 """,
     "op9_sharding": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
-  CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS h FROM documents),
-p AS (SELECT *, CAST(b AS INTEGER) AS depth, h >> (60 - b) AS prefix FROM d, range(41) r(b)),
-t AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR count(*) = 1)
-SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes,
-  shard_bytes <= 1048576 AS fits
-FROM p JOIN t USING (depth, prefix) QUALIFY row_number() OVER (PARTITION BY k ORDER BY depth) = 1
+  CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 15) AS BIGINT) AS h FROM documents),
+p AS (SELECT *, CAST(b AS INTEGER) AS depth, h >> (60 - b) AS prefix FROM d, range(61) r(b)),
+t AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR count(*) = 1),
+one AS (SELECT k, doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes
+  FROM p JOIN t USING (depth, prefix) QUALIFY row_number() OVER (PARTITION BY k ORDER BY depth) = 1),
+c AS (SELECT *, CASE WHEN n_bytes <= 131072 THEN 3 WHEN n_bytes <= 262144 THEN 2 WHEN n_bytes <= 524288 THEN 1 ELSE 0 END AS c FROM d ANTI JOIN one USING (k)),
+o AS (SELECT *, sum(n_bytes) OVER w - n_bytes AS before, row_number() OVER w - 1 AS n FROM c WINDOW w AS (PARTITION BY h, c ORDER BY n_bytes, doc_id, k ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT doc_id, n_bytes, lpad(bin(h), 60, '0') || '-' || c || '-' ||
+  CAST(CASE c WHEN 0 THEN n ELSE before // (1048576 - (1048576 >> c)) END AS BIGINT) AS shard, 60 AS depth FROM o),
+u AS (SELECT doc_id, n_bytes, shard, depth, shard_bytes FROM one
+  UNION ALL SELECT doc_id, n_bytes, shard, depth, CAST(sum(n_bytes) OVER (PARTITION BY shard) AS BIGINT) FROM g)
+SELECT *, shard_bytes <= 1048576 AS fits FROM u
 """,
 }

@@ -8,19 +8,22 @@ prefix that fits. Cells that don't fit themselves are cut finer in further round
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from tessella.functions import int_div
+from tessella.operators.positions import running_sum
+
+from .common import saved, text_id, unused
 
 #: Hash bits in all, and bits that a further round adds.
 BITS, STEP = 60, 10
 LIMIT = 1 << 20
 
 
-def hash_bits(key: Column) -> Column:
-    """60 bits of the md5 of the key as text; null is hashed as the empty text."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+def hash_bits(key: Column, text: Column) -> Column:
+    """60 bits of the md5 of the key as text. Rows without a key are spread by the md5 of their text in its place."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -28,7 +31,7 @@ def _directory(cells: DataFrame, above: int, depth: int, limit: int) -> DataFram
     """For each ``cell`` of ``depth`` bits: ``at``, the least depth over ``above`` whose bucket fits; else null.
 
     A bucket of one document fits in any case: it can't be split. The directory's buckets are the fitting ones below a
-    bucket that doesn't fit. They share out the hash space, so each is met with the cells that it covers.
+    bucket that doesn't fit. They share out the hash space, so one prefix of a cell at most is among them.
     """
     deeper = F.explode(F.sequence(F.lit(above), F.lit(depth)))
     spread = cells.withColumn("at", deeper).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - at)"))
@@ -36,20 +39,20 @@ def _directory(cells: DataFrame, above: int, depth: int, limit: int) -> DataFram
     totals = saved(totals.filter((F.col("shard_bytes") <= limit) | (F.col("shard_n") == 1)))
     fitting = totals.select((F.col("at") + 1).alias("at"), F.col("prefix").alias("parent"))
     buckets = totals.withColumn("parent", F.shiftright("prefix", 1)).join(fitting, ["at", "parent"], "left_anti")
-    covered = F.expr(f"sequence(shiftleft(prefix, {depth} - at), shiftleft(prefix + 1, {depth} - at) - 1)")
-    of = buckets.select("at", "prefix", "shard_bytes", F.explode(covered).alias("cell"))
+    of = spread.select("cell", "at", "prefix").join(buckets.select("at", "prefix", "shard_bytes"), ["at", "prefix"])
     return cells.select("cell").join(of, "cell", "left").select("cell", "at", "prefix", "shard_bytes")
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``shard`` (its hash bits as 0 and 1), ``depth``, ``shard_bytes``, ``fits``.
 
-    A null text has no bytes. ``fits`` is false only for a document that alone exceeds the limit; it is a shard
-    by itself. Documents beyond the limit that share all hash bits (repeated keys) are dealt to chained shards
-    ``bits-part-page``, filled in the order in which tasks hold them. One row comes out for each row.
+    A null text has no bytes; rows with a null key are hashed by their texts. ``fits`` is false only for a document
+    that alone exceeds the limit; it is a shard by itself. Documents beyond the limit that share all hash bits
+    (repeated keys) are dealt to chained shards ``bits-class-page``, filled in the order of sizes and ids: the same
+    rows give the same shards, however they are partitioned. One row comes out for each row.
     """
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rows = saved(docs.select("doc_id", size.alias("n_bytes"), hash_bits(F.col(key)).alias("h")))
+    rows = saved(docs.select("doc_id", size.alias("n_bytes"), hash_bits(F.col(key), F.col(text)).alias("h")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(24, max(1, (64 * total // limit + 1).bit_length()))  # cells of about a 64th of the limit
     above, rest, placed = 0, rows, []
@@ -76,14 +79,21 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
 
 
 def _chained(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages of at most ``limit`` bytes for rows of equal hash, filled apart in each task's part of them."""
-    rows = saved(rows.withColumn("part", F.spark_partition_id()))
-    before = Window.partitionBy("h", "part", "large").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    half = max(1, limit // 2)
-    counted = rows.withColumn("large", F.col("n_bytes") > half)
-    counted = counted.withColumns({"rows_before": F.count("*").over(before), "bytes_before": F.coalesce(F.sum("n_bytes").over(before), F.lit(0))})
-    page = F.when(F.col("large"), F.concat(F.lit("l"), F.col("rows_before"))).otherwise(F.expr(f"bytes_before div {half}").cast("string"))
-    filled = counted.withColumn("shard", F.concat_ws("-", F.lpad(F.bin("h"), BITS, "0"), F.col("part").cast("string"), page))
+    """Pages of at most ``limit`` bytes for rows of equal hash.
+
+    Class 0 has the rows over half the limit, a page each; class c up to 3 those of at most limit >> c bytes. A page
+    holds the rows that begin in a stretch of limit - (limit >> c) bytes, so none exceeds the limit and those of small
+    rows are filled to seven eighths. Sums run over ranges of rows: one hash may have any number of them.
+    """
+    kind = F.lit(0)
+    for c in (1, 2, 3):
+        kind = F.when(F.col("n_bytes") <= limit >> c, c).otherwise(kind)
+    rows = running_sum(rows.withColumn("class", kind), F.col("n_bytes"), "n_bytes", "doc_id", name="bytes", by=["h", "class"])
+    rows = running_sum(rows, F.lit(1), "n_bytes", "doc_id", name="rows", by=["h", "class"])
+    before, page = F.col("bytes") - F.col("n_bytes"), F.col("rows") - 1
+    for c in (1, 2, 3):
+        page = F.when(F.col("class") == c, int_div(before, max(1, limit - (limit >> c)))).otherwise(page)
+    filled = rows.withColumn("shard", F.concat_ws("-", F.lpad(F.bin("h"), BITS, "0"), F.col("class").cast("string"), page.cast("string")))
     totals = filled.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
     return filled.join(totals, "shard").select("doc_id", "n_bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes")
 
@@ -95,7 +105,10 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc
     replaced by the shard, and so must not be the key.
     """
     docs = docs.drop("shard")
-    shards = assign(docs.withColumn("doc_id", F.col(key)), limit, "doc_id", text)
-    shards = shards.groupBy(F.col("doc_id").alias("shard_key")).agg(F.min("shard").alias("shard"))
-    placed = docs.join(shards, docs[key].eqNullSafe(F.col("shard_key"))).drop("shard_key")
+    own = unused(docs, "shard_key")[0]
+    # The key, or the text where there is none, is what the hash is of.
+    named = F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), text_id(text)).alias("t"))
+    shards = assign(docs.select(named.alias("doc_id"), F.col(key).alias("key"), F.col(text).alias("text")), limit, "key")
+    shards = shards.groupBy(F.col("doc_id").alias(own)).agg(F.min("shard").alias("shard"))
+    placed = docs.join(shards, named.eqNullSafe(F.col(own))).drop(own)
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
