@@ -72,15 +72,26 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: of positives as positive, and of the rest as negative."""
+    p, u = positive @ w, unlabelled @ w
+    loss = lambda x: np.logaddexp(0, -x).mean()
+    return prior * loss(p), loss(-u) - prior * loss(-p)
+
+
+def step(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """The direction to go against: the gradient of the risk, or, where its second part is negative, of that part's rise."""
+    p, u = positive @ w, unlabelled @ w
+    toward = -prior * ((1 - sigmoid(p)) @ positive) / len(p)
+    away = sigmoid(u) @ unlabelled / len(u) - prior * (sigmoid(p) @ positive) / len(p)
+    return toward + away if risk(w, positive, unlabelled, prior)[1] >= 0 else -away
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
     """Weights that minimise the non-negative risk, by full-batch Adam."""
     w, m, v = (np.zeros(positive.shape[1]) for _ in range(3))
     for t in range(1, rounds + 1):
-        p, u = positive @ w, unlabelled @ w
-        toward = -prior * ((1 - sigmoid(p)) @ positive) / len(p)
-        away = sigmoid(u) @ unlabelled / len(u) - prior * (sigmoid(p) @ positive) / len(p)
-        negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        g = (toward + away if negative >= 0 else -away) + ridge * w
+        g = step(w, positive, unlabelled, prior) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
