@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import running_sum
+
 #: Weights of a device's score: base, local data, data elsewhere, load.
 BASE, LOCAL, AWAY, LOAD = 50, 30, 30, 10
-#: Devices are sent to all executors; a cluster has at most so many.
-MAX_DEVICES = 10_000
+#: Devices up to which their table is sent to all executors; a longer one is joined as Spark chooses.
+SENT_DEVICES = 10_000
 
 
 def scores(tasks: DataFrame, reads: DataFrame, copies: DataFrame, devices: DataFrame) -> DataFrame:
@@ -20,13 +22,13 @@ def scores(tasks: DataFrame, reads: DataFrame, copies: DataFrame, devices: DataF
     ``tasks``: task, memory, vcus. ``reads``: task, array, bytes. ``copies``: array, device. ``devices``: device,
     memory, vcus, load (tasks mapped to it). Bytes that a device holds count for it, the others against it.
     """
-    devices = devices.limit(MAX_DEVICES)
-    total = F.sum("load").over(Window.partitionBy(F.lit(1)))
-    share = F.when(total > 0, F.col("load") / total).otherwise(0.0)
-    able = tasks.join(
-        F.broadcast(devices.select("device", F.col("memory").alias("has_memory"), F.col("vcus").alias("has_vcus"), share.alias("share"))),
-        (F.col("memory") <= F.col("has_memory")) & (F.col("vcus") <= F.col("has_vcus")),
-    ).select("task", "device", "share")
+    total = devices.agg(F.sum("load").alias("total"))
+    share = F.when(F.col("total") > 0, F.col("load") / F.col("total")).otherwise(0.0)
+    able = devices.crossJoin(F.broadcast(total)).select(  # one row
+        "device", F.col("memory").alias("has_memory"), F.col("vcus").alias("has_vcus"), share.alias("share")
+    )
+    able = F.broadcast(able) if devices.count() <= SENT_DEVICES else able
+    able = tasks.join(able, (F.col("memory") <= F.col("has_memory")) & (F.col("vcus") <= F.col("has_vcus"))).select("task", "device", "share")
     held = reads.join(copies, "array").groupBy("task", "device").agg(F.sum("bytes").alias("near"))
     needed = reads.groupBy("task").agg(F.sum("bytes").alias("all"))
     near, every = F.coalesce("near", F.lit(0)), F.coalesce("all", F.lit(0))
@@ -54,9 +56,10 @@ def admitted(requests: DataFrame, capacity: DataFrame) -> DataFrame:
 
     ``requests``: device, seq, need. ``capacity``: device, memory.
     """
-    order = Window.partitionBy("device").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    used = requests.withColumn("used", F.sum("need").over(order)).join(F.broadcast(capacity.limit(MAX_DEVICES)), "device")
-    return used.select("device", "seq", "need", "used", (F.max(F.col("used") > F.col("memory")).over(order) == F.lit(False)).alias("admitted"))
+    used = running_sum(requests, F.col("need"), "seq", name="used", by=["device"]).join(capacity, "device")
+    first = used.filter(F.col("used") > F.col("memory")).groupBy("device").agg(F.min("seq").alias("full_at"))
+    waiting = F.coalesce(F.col("seq") >= F.col("full_at"), F.lit(False))
+    return used.join(first, "device", "left").select("device", "seq", "need", "used", (~waiting).alias("admitted"))
 
 
 def mapped_bytes(events: DataFrame) -> DataFrame:
@@ -67,8 +70,7 @@ def mapped_bytes(events: DataFrame) -> DataFrame:
     own = Window.partitionBy("device", "array").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     counted = events.withColumn("open", F.sum("delta").over(own))
     change = F.when((F.col("open") == 1) & (F.col("delta") == 1), F.col("bytes")).when((F.col("open") == 0) & (F.col("delta") == -1), -F.col("bytes")).otherwise(0)
-    device = Window.partitionBy("device").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("mapped", F.sum(change).over(device))
+    return running_sum(counted, change, "seq", name="mapped", by=["device"])
 
 
 INVALID, SHARED, MODIFIED = 0, 1, 2
