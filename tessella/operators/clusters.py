@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import materialised
+from .positions import written
 
 #: Centres are sent to all executors; more than these would need another plan.
 MAX_CENTRES = 10_000
@@ -20,31 +20,35 @@ def squared_distance(a, b):
 def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     """``id``, ``x``, ``k``, ``d``: each point with its nearest centre, the lowest k on a tie.
 
-    The centres, a bounded number, are one array that every point is compared with: no join row for each pair.
+    The centres, a bounded number, are one broadcast row that every point is compared with: no row for each pair.
     """
-    rows = centres.orderBy("k").limit(MAX_CENTRES + 1).collect()
-    if len(rows) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
-    held = F.array(*[F.struct(F.lit(r["k"]).alias("k"), F.array(*[F.lit(float(v)) for v in r["c"]]).alias("c")) for r in rows])
-    found = F.array_min(F.transform(held, lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d"), c["k"].alias("k"))))
-    return points.select("id", "x", found.alias("f")).select("id", "x", F.col("f.k").alias("k"), F.col("f.d").alias("d"))
+    if (n := centres.limit(MAX_CENTRES + 1).count()) > MAX_CENTRES:
+        raise ValueError(f"{n} centres or more, {MAX_CENTRES} at most")
+    held = centres.agg(F.collect_list(F.struct("k", F.col("c").cast("array<double>").alias("c"))).alias("held"))
+    near = F.array_min(F.transform("held", lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d"), c["k"].alias("k"))))
+    found = points.select("id", "x").crossJoin(F.broadcast(held)).select("id", "x", near.alias("f"))  # one row
+    return found.select("id", "x", F.col("f.k").alias("k"), F.col("f.d").alias("d"))
 
 
 def update(assigned: DataFrame, centres: DataFrame) -> DataFrame:
-    """``k``, ``c``: the means of the points of each centre; a centre without points stays where it was."""
-    means = (
-        assigned.select("k", F.posexplode("x").alias("j", "v")).groupBy("k", "j").agg(F.avg(F.col("v").cast("double")).alias("m"))
-        .groupBy("k").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("s")).select("k", F.col("s.m").alias("new"))
-    )
-    return centres.join(means, "k", "left").select("k", F.coalesce("new", "c").alias("c"))
+    """``k``, ``c``: the means of the points of each centre; a centre without points stays where it was.
+
+    A row for each centre and task is shuffled, with all its partial sums: points never become a row for each number.
+    """
+    first = centres.select(F.size("c")).first()
+    if first is None:
+        return centres.select("k", "c")
+    sums = [F.avg(F.get("x", F.lit(j)).cast("double")) for j in range(first[0])]
+    means = assigned.groupBy(F.col("k").alias("of")).agg(F.array(*sums).alias("new"))
+    return centres.join(means, centres["k"] == means["of"], "left").select("k", F.coalesce("new", F.col("c").cast("array<double>")).alias("c"))
 
 
 def kmeans(points: DataFrame, centres: DataFrame, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """The centres after a fixed number of rounds, and the assignment that the last round made."""
-    assigned = assign(points, centres)
+    assigned = assign(points, centres) if not rounds else None
     for _ in range(rounds):
         assigned = assign(points, centres)
-        centres = materialised(update(assigned, centres))
+        centres = written(update(assigned, centres))
     return centres, assigned
 
 
