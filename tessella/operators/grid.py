@@ -22,11 +22,17 @@ _BINARY = {
     "//": floor_div,
     "%": floor_mod,
     "**": lambda a, b: F.pow(a, b),
-    "&": lambda a, b: a.bitwiseAND(b),
-    "|": lambda a, b: a.bitwiseOR(b),
-    "^": lambda a, b: a.bitwiseXOR(b),
 }
 
+#: Of booleans as logic, of integers bit by bit.
+_LOGIC = {
+    "&": (lambda a, b: a & b, lambda a, b: a.bitwiseAND(b)),
+    "|": (lambda a, b: a | b, lambda a, b: a.bitwiseOR(b)),
+    "^": (lambda a, b: a != b, lambda a, b: a.bitwiseXOR(b)),
+}
+#: Indices of a list up to which it is a literal in the plan; a longer one is joined.
+LITERAL_INDICES = 1000
+
 
 @dataclass(frozen=True)
 class GridArray:
@@ -68,6 +74,14 @@ class GridArray:
                 kept.append(index)
                 shape.append(len(range(start, stop, step)))
             elif isinstance(at, (list, tuple)):
+                if any(not -size <= x < size for x in at):
+                    raise IndexError(f"index of axis {k} with size {size}")
+                if len(at) > LITERAL_INDICES:
+                    rows = frame.sparkSession.createDataFrame([(p, x % size) for p, x in enumerate(at)], f"g{k} long, x{k} long")
+                    frame = frame.join(rows, i == F.col(f"x{k}")).drop(f"x{k}")
+                    kept.append(F.col(f"g{k}"))
+                    shape.append(len(at))
+                    continue
                 places: dict[int, list[int]] = {}
                 for place, x in enumerate(at):
                     places.setdefault(x % size, []).append(place)
@@ -98,9 +112,126 @@ class GridArray:
         both = self.frame().join(right, on).select(*self.axes, op(F.col("v"), F.col("w")).alias("v"))
         return GridArray(both, self.shape, F.col("v"))
 
-    def apply(self, op: str, other: GridArray | float | int) -> GridArray:
+    def take(self, index: GridArray, axis: int = 0) -> GridArray:
+        """The elements at the places that a one-dimensional array of integers names along an axis, by a join.
+
+        Negative places count from the end; those outside the axis name nothing.
+        """
+        at, size = f"i{axis}", self.shape[axis]
+        rows = index.frame().select(F.col("i0").alias("_to"), F.when(F.col("v") < 0, F.col("v") + size).otherwise(F.col("v")).alias("_at"))
+        found = self.frame().join(rows, F.col(at) == F.col("_at"))
+        columns = [F.col("_to").alias(at) if a == at else F.col(a) for a in self.axes]
+        shape = tuple(index.shape[0] if k == axis else n for k, n in enumerate(self.shape))
+        return GridArray(found.select(*columns, "v"), shape, F.col("v"), self.version)
+
+    def _kind(self) -> str:
+        return self.source.select(self.v.alias("v")).schema["v"].dataType.typeName()
+
+    def apply(self, op: str, other: GridArray | float | int | bool) -> GridArray:
+        if op in _LOGIC:
+            logic, bits = _LOGIC[op]
+            return self._with(other, logic if self._kind() == "boolean" else bits)
         return self._with(other, _BINARY[op])
 
+    def changed(self, op: str, other: GridArray | float | int | bool) -> GridArray:
+        """``apply`` as an assignment to the array itself: the next version of it."""
+        return replace(self.apply(op, other), version=self.version + 1)
+
+    def update(self, value: GridArray) -> GridArray:
+        """The next version, with all elements and the shape of another array."""
+        return replace(value, version=self.version + 1)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __iter__(self):
+        """The sub-arrays along the first axis, each a lazy view."""
+        return (self[k] for k in range(self.shape[0]))
+
+    def __add__(self, other):
+        return self.apply("+", other)
+
+    def __sub__(self, other):
+        return self.apply("-", other)
+
+    def __mul__(self, other):
+        return self.apply("*", other)
+
+    def __truediv__(self, other):
+        return self.apply("/", other)
+
+    def __floordiv__(self, other):
+        return self.apply("//", other)
+
+    def __mod__(self, other):
+        return self.apply("%", other)
+
+    def __pow__(self, other):
+        return self.apply("**", other)
+
+    def __and__(self, other):
+        return self.apply("&", other)
+
+    def __or__(self, other):
+        return self.apply("|", other)
+
+    def __xor__(self, other):
+        return self.apply("^", other)
+
+    __radd__, __rmul__, __rand__, __ror__, __rxor__ = __add__, __mul__, __and__, __or__, __xor__
+
+    def __rsub__(self, other):
+        return self._with(other, lambda a, b: b - a)
+
+    def __rtruediv__(self, other):
+        return self._with(other, lambda a, b: true_div(b, a))
+
+    def __rfloordiv__(self, other):
+        return self._with(other, lambda a, b: floor_div(b, a))
+
+    def __rmod__(self, other):
+        return self._with(other, lambda a, b: floor_mod(b, a))
+
+    def __rpow__(self, other):
+        return self._with(other, lambda a, b: F.pow(b, a))
+
+    def __neg__(self) -> GridArray:
+        return self.map(lambda v: -v)
+
+    def __abs__(self) -> GridArray:
+        return self.map(F.abs)
+
+    def __invert__(self) -> GridArray:
+        return self.map((lambda v: ~v) if self._kind() == "boolean" else F.bitwise_not)
+
+    def min(self, axis: int | None = None) -> DataFrame:
+        """NaN where one of the elements is NaN, as in numerical libraries; Spark's own order has it last."""
+        return self.reduce(lambda v: F.when(F.bool_or(self._nan(v)), F.lit(float("nan"))).otherwise(F.min(v)) if self._floats() else F.min(v), axis)
+
+    def max(self, axis: int | None = None) -> DataFrame:
+        return self.reduce(F.max, axis)
+
+    def mean(self, axis: int | None = None) -> DataFrame:
+        return self.reduce(lambda v: F.avg(v.cast("double")), axis)
+
+    def sum(self, axis: int | None = None) -> DataFrame:
+        return self.reduce(F.sum, axis)
+
+    def argsort(self) -> GridArray:
+        """Of a one-dimensional array: the places of its elements in rising order, NaN last, equal ones in place order."""
+        placed = with_position(self.frame(), "v", "i0", name="p")
+        return GridArray(placed.select(F.col("p").alias("i0"), F.col("i0").alias("v")), self.shape, F.col("v"))
+
+    def sort(self) -> GridArray:
+        placed = with_position(self.frame(), "v", "i0", name="p")
+        return GridArray(placed.select(F.col("p").alias("i0"), "v"), self.shape, F.col("v"), self.version + 1)
+
+    def _floats(self) -> bool:
+        return self._kind() in ("double", "float")
+
+    def _nan(self, v: Column) -> Column:
+        return F.isnan(v) if self._floats() else F.lit(False)
+
     def compare(self, op: str, other: GridArray | float | int) -> GridArray:
         return self._with(other, lambda a, b: compare(a.cast("double"), op, b.cast("double")))
 
@@ -136,9 +267,9 @@ class GridArray:
         return self.frame().groupBy(*keep).agg(how(F.col("v")).alias("v"))
 
     def argmin(self, axis: int) -> DataFrame:
-        """The first index of the least value along an axis."""
+        """The first index of the least value along an axis, or of the first NaN if there is one."""
         keep = [a for k, a in enumerate(self.axes) if k != axis]
-        least = F.min(F.struct("v", f"i{axis}"))
+        least = F.min(F.struct((~self._nan(F.col("v"))).alias("n"), "v", f"i{axis}"))
         return self.frame().groupBy(*keep).agg(least[f"i{axis}"].alias("arg"), least["v"].alias("v"))
 
     def transpose(self) -> GridArray:
@@ -150,7 +281,7 @@ class GridArray:
 
     def reshape(self, rows: int, columns: int) -> GridArray:
         flat = F.col("i0") * self.shape[1] + F.col("i1")
-        moved = self.frame().select(F.floor(flat / columns).alias("i0"), (flat % columns).alias("i1"), "v")
+        moved = self.frame().select(floor_div(flat, columns).alias("i0"), (flat % columns).alias("i1"), "v")
         return GridArray(moved, (rows, columns), F.col("v"))
 
     def matmul(self, other: GridArray) -> GridArray:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import compare, floor_div, floor_mod, shift_left, shift_right, true_div
+from tessella.functions import block_of, compare, floor_div, floor_mod, int_div, shift_left, shift_right, true_div
 from tessella.operators.grid import GridArray
-from tessella.operators.positions import running_sum
+from tessella.operators.positions import medians, running_sum
+from tessella.operators.sorting import concatenated
 from tessella.session import table
 
 from . import query
@@ -133,6 +134,64 @@ def arr_bitwise(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(i, i.bitwiseAND(u).alias("a"), i.bitwiseOR(u).alias("o"), i.bitwiseXOR(u).alias("x"), F.bitwise_not(i).alias("n"))
 
 
+@query("SELECT event_id AS i0, (value > 50) AND (value < 80) AS a, (value > 50) OR (value < 20) AS o, (value > 50) <> (value < 80) AS x, NOT (value > 50) AS n FROM events")
+def arr_logic(spark, sf_dir) -> DataFrame:
+    v = values(spark, sf_dir)
+    high, low, least = v.compare(">", 50.0), v.compare("<", 80.0), v.compare("<", 20.0)
+    found = {"a": high & low, "o": high | least, "x": high ^ low, "n": ~high}
+    return v.source.select("i0", *[g.v.alias(c) for c, g in found.items()])
+
+
+_BIG = "(9007199254740993 + event_id)"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_BIG} // 3 ELSE -(({_BIG} + 2) // 3) END AS q, CASE WHEN event_id % 2 = 0 THEN {_BIG} % 3 ELSE (3 - {_BIG} % 3) % 3 END AS r,
+{_BIG} // 1000 AS block, {_BIG} * 4 // 36028797018963968 AS shard FROM events""")
+def arr_divmod_large(spark, sf_dir) -> DataFrame:
+    """Beyond 2**53, where doubles no longer tell integers apart."""
+    i = F.col("event_id")
+    big = F.lit(9007199254740993) + i
+    a = F.when(i % 2 == 0, big).otherwise(-big)
+    quarter = int_div(big * 4, 36028797018963968)
+    return table(spark, sf_dir, "events").select(i, floor_div(a, 3).alias("q"), floor_mod(a, 3).alias("r"), block_of(big, 1000).alias("block"), quarter.alias("shard"))
+
+
+@query("SELECT a.event_id AS i0, b.value AS v FROM events a JOIN events b ON b.event_id = (a.event_id * 11 + 5) % (SELECT count(*) FROM events)")
+def arr_take(spark, sf_dir) -> DataFrame:
+    """A gather of as many places as the array has elements."""
+    v = values(spark, sf_dir)
+    places = v.map(lambda _: (F.col("i0") * 11 + 5) % len(v))
+    return v.take(places).frame()
+
+
+@query("SELECT row_number() OVER (ORDER BY value, event_id) - 1 AS i0, event_id AS v FROM events")
+def arr_argsort(spark, sf_dir) -> DataFrame:
+    return values(spark, sf_dir).argsort().frame()
+
+
+@query("SELECT row_number() OVER (ORDER BY value, event_id) - 1 AS i0, value AS v FROM events")
+def arr_sort(spark, sf_dir) -> DataFrame:
+    return values(spark, sf_dir).sort().frame()
+
+
+@query("SELECT event_id AS i0, 100 - (2 * value + 1) AS v, 1 AS version FROM events")
+def arr_reflected(spark, sf_dir) -> DataFrame:
+    found = values(spark, sf_dir)
+    found = found.changed("*", 2)
+    left = 100 - (1 + found)
+    return left.frame().withColumn("version", F.lit(found.version))
+
+
+@query("""SELECT row_number() OVER (ORDER BY block, event_id) - 1 AS pos, event_id, block FROM (
+SELECT event_id, 0 AS block FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 1 FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 2 FROM events WHERE event_type NOT IN ('purchase', 'click'))""")
+def arr_concatenate(spark, sf_dir) -> DataFrame:
+    """Blocks one after the other, each in its own order."""
+    e = table(spark, sf_dir, "events")
+    tests = ("event_type = 'purchase'", "event_type = 'click'", "event_type NOT IN ('purchase', 'click')")
+    blocks = [e.filter(t).select("event_id", F.lit(n).alias("block")) for n, t in enumerate(tests)]
+    return concatenated(*blocks, order="event_id")
+
+
 @query("SELECT event_id, -value AS neg, abs(value) AS pos, sqrt(abs(value)) AS root FROM events")
 def arr_unary(spark, sf_dir) -> DataFrame:
     v = F.col("value")
@@ -210,6 +269,21 @@ def red_sum_all(spark, sf_dir) -> DataFrame:
     return values(spark, sf_dir).reduce(F.sum).select(F.round("v", 4).alias("v"))
 
 
+@query(f"WITH {CELLS} SELECT vec_id AS i0, min(x) AS lo, max(x) AS hi, round(avg(x), 6) AS mean FROM e GROUP BY 1")
+def red_methods(spark, sf_dir) -> DataFrame:
+    e = matrix(spark, sf_dir)
+    lo, hi, mean = (how(axis=1).withColumnRenamed("v", c) for how, c in ((e.min, "lo"), (e.max, "hi"), (e.mean, "mean")))
+    return lo.join(hi, "i0").join(mean, "i0").withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {CELLS}, h AS (SELECT vec_id, j, CASE WHEN (vec_id + j) % 17 = 0 THEN 'NaN'::DOUBLE ELSE x END AS x FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY isnan(x) DESC, x, j) AS n FROM h) SELECT vec_id AS i0, j AS arg FROM r WHERE n = 1""")
+def red_argmin_nan(spark, sf_dir) -> DataFrame:
+    """A NaN counts as the least, the first of them."""
+    holes = matrix(spark, sf_dir).map(lambda v: F.when((F.col("i0") + F.col("i1")) % 17 == 0, F.lit(float("nan"))).otherwise(v))
+    return holes.argmin(1).select("i0", "arg")
+
+
 @query(f"WITH {CELLS} SELECT vec_id AS i0, round(sum(x), 4) AS v FROM e GROUP BY 1")
 def red_sum_axis(spark, sf_dir) -> DataFrame:
     return matrix(spark, sf_dir).reduce(F.sum, axis=1).select("i0", F.round("v", 4).alias("v"))
@@ -228,10 +302,12 @@ def red_count_mask(spark, sf_dir) -> DataFrame:
 @query("""SELECT event_type, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_pop(value), 4) AS std, min(value) AS min, max(value) AS max, count(*) AS n
 FROM events GROUP BY 1""")
 def red_stats(spark, sf_dir) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.stddev_pop(v), 4).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n")
+    v, events = F.col("value"), table(spark, sf_dir, "events")
+    middle = medians(events, "value", by=["event_type"]).select(F.col("event_type").alias("of"), F.round("median", 4).alias("median"))
+    found = events.groupBy("event_type").agg(
+        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n")
     )
+    return found.join(middle, F.col("event_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("SELECT event_id % 4 AS device, CAST(sum(8 + strlen(props)) AS BIGINT) AS nbytes FROM events GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import shard_of
 from tessella.operators import sorting as S
-from tessella.operators.positions import with_position
+from tessella.operators.positions import medians, with_position
 from tessella.session import table
 
 from . import query
@@ -61,15 +61,21 @@ for _side, _op in (("left", "<"), ("right", "<=")):
 
 @query("SELECT event_id, arg_max(t.b, t.lo) AS block FROM events JOIN (VALUES (0, 0.0), (1, 20.0), (2, 60.0), (3, 90.0)) t(b, lo) ON t.lo <= value GROUP BY event_id")
 def block_lookup_asof(spark, sf_dir) -> DataFrame:
-    blocks = spark.createDataFrame([(0, 0.0), (1, 20.0), (2, 60.0), (3, 90.0)], "b int, lo double")
-    rows = table(spark, sf_dir, "events").join(F.broadcast(blocks), F.col("lo") <= F.col("value"))
-    return rows.groupBy("event_id").agg(F.max_by("b", "lo").alias("block"))
+    block = S.bucket_of(F.col("value"), [0.0, 20.0, 60.0, 90.0], "right") - 1  # the last that begins at the value or below
+    return table(spark, sf_dir, "events").select("event_id", block.alias("block")).filter("block >= 0")
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS pos FROM events")
+def sort_quick(spark, sf_dir) -> DataFrame:
+    """The whole sort by rounds of partitioning; parts as small as an eighth of the table are sorted where they are."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    return S.quick_sort(events, "value", "event_id", least=max(1, events.count() // 8))
 
 
 @query("""WITH m AS (SELECT median(value) AS p FROM events) SELECT event_id, value < p AS is_left, row_number() OVER (PARTITION BY value < p ORDER BY event_id) - 1 AS pos FROM events, m""")
 def sort_quick_partition(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    pivot = events.agg(F.median("value").alias("p"))
+    pivot = medians(events, "value").withColumnRenamed("median", "p")
     sides = events.crossJoin(F.broadcast(pivot)).select("event_id", (F.col("value") < F.col("p")).alias("is_left"))  # one row
     left, right = (with_position(sides.filter(F.col("is_left") == b), "event_id") for b in (True, False))
     return left.unionByName(right)
@@ -79,7 +85,7 @@ def sort_quick_partition(spark, sf_dir) -> DataFrame:
 SELECT event_id, row_number() OVER (ORDER BY v >= p, part, event_id) - 1 AS pos, CAST((row_number() OVER (ORDER BY v >= p, part, event_id) - 1) // CAST(ceil(n / {SHARDS}.0) AS BIGINT) AS INTEGER) AS bin FROM s, m""")
 def balance_partition(spark, sf_dir) -> DataFrame:
     rows = sharded(spark, sf_dir)
-    pivot = rows.agg(F.median("v").alias("p"))
+    pivot = medians(rows, "v").withColumnRenamed("median", "p")
     rows = rows.crossJoin(F.broadcast(pivot)).withColumn("is_left", F.col("v") < F.col("p"))  # one row
     return S.balanced(rows, "is_left", "part", "event_id", SHARDS).select("event_id", "pos", "bin")
 
