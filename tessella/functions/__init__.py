@@ -98,3 +98,18 @@ def block_of(i: Column, size: int) -> Column:
 def task_name(space: Column, index: Column) -> Column:
     """``space_i_j`` for an array of integers."""
     return F.concat_ws("_", space, F.transform(index, lambda x: x.cast("string")))
+
+
+def task_parts(name: Column) -> tuple[Column, Column]:
+    """Space and index of ``space_i_j``; the index is empty where no numbers follow, and the space the whole name."""
+    numbers = F.regexp_extract(name, r"((?:_-?\d+)+)$", 1)
+    space = F.substring(name, F.lit(1), F.length(name) - F.length(numbers))
+    index = F.filter(F.split(numbers, "_"), lambda x: x != "")
+    return space, F.transform(index, lambda x: x.cast("long"))
+
+
+def strided_local(start: Column, stop: Column, step: Column, of_start: Column, of_stop: Column, of_step: Column) -> tuple[Column, Column, Column, Column]:
+    """Of a slice with positive steps: whether the slice ``of`` holds all its places, and its start, stop and step there."""
+    last = start + int_div(stop - 1 - start, step) * step
+    inside = (start >= of_start) & (last < of_stop) & ((start - of_start) % of_step == 0) & ((step % of_step == 0) | (last == start))
+    return inside, int_div(start - of_start, of_step), int_div(last - of_start, of_step) + 1, F.greatest(int_div(step, of_step), F.lit(1))

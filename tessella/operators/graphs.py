@@ -97,6 +97,18 @@ def parse_tasks(lines: DataFrame) -> DataFrame:
     )
 
 
+def task_lines(tasks: DataFrame) -> DataFrame:
+    """The lines that ``parse_tasks`` reads back, as ``value``."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
+    index = lambda i: F.concat(F.lit("("), listed(i), F.lit(")"))
+    named = lambda n: F.concat(F.lit("("), F.regexp_extract(n, r"([A-Za-z]\w*?)_", 1), F.lit(", "), index(F.regexp_extract_all(n, F.lit(r"_(-?\d+)"), F.lit(1))), F.lit(")"))
+    # Numbers written with 17 digits are read back as they were.
+    runtime = F.concat(F.lit("{(0) : "), F.concat_ws(", ", F.col("time").cast("string"), F.col("vcus").cast("string"), F.lit("0"), F.lit("0"), F.col("memory").cast("string")), F.lit("}"))
+    data = F.concat_ws(" : ", *[listed(c) for c in ("reads", "writes", "read_writes")])
+    head = F.concat(F.lit("("), F.col("space"), F.lit(", "), index(F.col("idx")), F.lit(")"))
+    return tasks.select(F.concat_ws(" | ", head, runtime, F.array_join(F.transform("deps", named), " : "), data).alias("value"))
+
+
 #: Events of a trace line by the words that mark it, the first that occurs.
 EVENTS = (("Assigned", "ASSIGNED"), ("Running", "START"), ("Runahead", "RUNAHEAD"), ("Completed", "COMPLETED"), ("Notified", "NOTIFY"), ("Adding", "ADD_DEPS"))
 
@@ -137,6 +149,36 @@ def order_violations(edges: DataFrame, times: DataFrame) -> DataFrame:
     return edges.join(src, "src").join(dst, "dst").filter(F.col("dst_start") < F.col("src_end"))
 
 
+def array_dependencies(edges: DataFrame, accesses: DataFrame) -> DataFrame:
+    """``task``, ``array``, ``dep``: of the tasks before a task (``src``, ``dst``), those its own access must wait for.
+
+    ``accesses`` has ``task``, ``array``, ``mode``. A task that writes an array is waited for; one that only reads it
+    (``IN``) is waited for if it waits itself. So what has to be waited for spreads along edges between readers, by
+    rounds that each go one edge further; the edges must have no cycle.
+    """
+    own = accesses.groupBy("task", "array").agg(F.bool_and(F.col("mode") == "IN").alias("reads"))
+    along = edges.select(F.col("src").alias("dep"), F.col("dst").alias("task")).distinct().join(own, "task")
+    along = written(along.join(own.select(F.col("task").alias("dep"), "array"), ["dep", "array"]))
+    held = fresh = written(own.filter("not reads").select(F.col("task").alias("dep"), "array"))
+    readers = along.filter("reads")
+    while True:
+        next_ = readers.join(fresh, ["dep", "array"]).select(F.col("task").alias("dep"), "array").distinct()
+        fresh = written(next_.join(held, ["dep", "array"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        held = written(held.unionByName(fresh))
+    return along.join(held, ["dep", "array"]).select("task", "array", "dep")
+
+
+def upserted(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """``table`` with the rows of ``rows`` whose key it lacks: what is there stays as it is. Null keys are equal."""
+    renamed = table.select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(key)]).distinct()
+    on = F.lit(True)
+    for n, c in enumerate(key):
+        on = on & F.col(c).eqNullSafe(F.col(f"_{n}"))
+    return table.unionByName(rows.join(renamed, on, "left_anti"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """``node``, ``level``: the longest path to each node from one without parents. The edges must have no cycle."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import block_of, compare, floor_div, floor_mod, int_div, shift_left, shift_right, true_div
+from tessella.functions import (
+    block_of,
+    compare,
+    floor_div,
+    floor_mod,
+    int_div,
+    ravelled,
+    shard_of_cell,
+    shift_left,
+    shift_right,
+    strided_local,
+    true_div,
+    unravelled,
+)
 from tessella.operators.grid import GridArray
 from tessella.operators.positions import medians, running_sum
 from tessella.operators.sorting import concatenated
@@ -62,6 +75,36 @@ def arr_slice_of_slice(spark, sf_dir) -> DataFrame:
     return values(spark, sf_dir)[10:400:3][2:100:2].frame()
 
 
+@query("""WITH s AS (SELECT i, CAST(i * 100 AS BIGINT) AS a, CAST(i * 100 + 150 AS BIGINT) AS b, CAST(1 + i % 2 AS BIGINT) AS st FROM range(200) t(i)),
+q AS (SELECT event_id, event_id % 5000 AS a, event_id % 5000 + 10 + user_id % 40 AS b, CAST(2 AS BIGINT) AS st FROM events),
+l AS (SELECT *, a + (b - 1 - a) // st * st AS last FROM q),
+m AS (SELECT l.event_id, min(s.i) AS i FROM l JOIN s ON l.a >= s.a AND l.last < s.b AND (l.a - s.a) % s.st = 0 GROUP BY 1)
+SELECT m.event_id, m.i AS sub, (l.a - s.a) // s.st AS start, (l.last - s.a) // s.st + 1 AS stop, CAST(2 // s.st AS BIGINT) AS step FROM m JOIN l USING (event_id) JOIN s USING (i)""")
+def arr_sub_array(spark, sf_dir) -> DataFrame:
+    """For each requested slice the first of 200 sub-arrays that holds it, and its place there. A hundred places make
+    a block; a sub-array covers two blocks, so that a slice meets the sub-arrays of its own block alone."""
+    i, step = F.col("i"), F.lit(2).cast("long")
+    subs = spark.range(200).select(F.col("id").alias("i"), (F.col("id") * 100).alias("s"), (F.col("id") * 100 + 150).alias("e"), (1 + F.col("id") % 2).alias("st"))
+    subs = subs.select("*", F.explode(F.sequence(i, i + 1)).alias("block"))
+    at = F.col("event_id") % 5000
+    asked = table(spark, sf_dir, "events").select("event_id", at.alias("a"), (at + 10 + F.col("user_id") % 40).alias("b"), int_div(at, 100).alias("block"))
+    inside, start, stop, pace = strided_local(F.col("a"), F.col("b"), step, F.col("s"), F.col("e"), F.col("st"))
+    held = asked.join(subs, "block").filter(inside).select("event_id", F.struct("i", start.alias("start"), stop.alias("stop"), pace.alias("step")).alias("f"))
+    found = held.groupBy("event_id").agg(F.min("f").alias("f"))
+    return found.select("event_id", F.col("f.i").alias("sub"), "f.start", "f.stop", "f.step")
+
+
+@query("""SELECT vec_id, j, CAST((vec_id * 4 // n) * 2 + j * 2 // 64 AS INTEGER) AS shard, vec_id * 64 + j AS flat
+FROM (SELECT vec_id, unnest(range(0, 64)) AS j FROM embeddings), (SELECT max(vec_id) + 1 AS n FROM embeddings)""")
+def arr_grid_shards(spark, sf_dir) -> DataFrame:
+    """A grid of 4 x 2 shards, and the row-major place of each cell and back."""
+    e = matrix(spark, sf_dir)
+    axes, n = [F.col("i0"), F.col("i1")], e.shape
+    cells = e.frame().select("i0", "i1", shard_of_cell(axes, n, (4, 2)).alias("shard"), ravelled(axes, n).alias("flat"))
+    back = unravelled(F.col("flat"), n)
+    return cells.select(back[0].alias("vec_id"), back[1].alias("j"), "shard", "flat")
+
+
 @query(f"WITH {CELLS} SELECT vec_id AS i0, x AS v FROM e WHERE j = 7")
 def arr_index_drop_axis(spark, sf_dir) -> DataFrame:
     return matrix(spark, sf_dir)[:, 7].frame()
@@ -222,10 +265,13 @@ def arr_conversions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.cast("string").alias("s"), F.hex(i).alias("h"), F.col("value").cast("long").alias("i"), i.cast("double").alias("f"))
 
 
-@query(f"WITH {CELLS} SELECT a.vec_id AS i0, b.vec_id AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM e a JOIN e b ON a.j = b.j AND b.vec_id < 20 GROUP BY 1, 2")
+@query(f"""WITH {CELLS}, g AS (SELECT a.j AS k, b.j AS j, sum(a.x * b.x) AS x FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)
+SELECT e.vec_id AS i0, g.j AS i1, round(sum(e.x * g.x), 4) + 0 AS v FROM e JOIN g ON g.k = e.j GROUP BY 1, 2""")
 def mat_mul(spark, sf_dir) -> DataFrame:
+    """E(EᵀE): all rows on both sides."""
     e = matrix(spark, sf_dir)
-    return e.matmul(e[:20].transpose()).frame().select("i0", "i1", (F.round("v", 4) + 0.0).alias("v"))
+    gram = e.transpose().matmul(e)
+    return e.matmul(gram).frame().select("i0", "i1", (F.round("v", 4) + 0.0).alias("v"))
 
 
 @query(f"WITH {CELLS} SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2")
@@ -316,33 +362,34 @@ def red_nbytes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("device")).agg(F.sum(size).cast("long").alias("nbytes"))
 
 
-@query("SELECT CAST(level AS INTEGER) AS level, event_id // (4 ** level)::BIGINT AS node, round(sum(value), 4) AS v FROM events, range(1, 4) r(level) GROUP BY ALL")
-def red_tree(spark, sf_dir) -> DataFrame:
-    level, found = values(spark, sf_dir).frame().select(F.col("i0").alias("node"), "v"), None
-    for r in (1, 2, 3):
-        level = level.groupBy(F.floor(F.col("node") / 4).alias("node")).agg(F.sum("v").alias("v"))
-        here = level.select(F.lit(r).alias("level"), "node", F.round("v", 4).alias("v"))
-        found = here if found is None else found.unionByName(here)
-    return found
+def _tree_sql(branch: int) -> str:
+    return f"""WITH RECURSIVE t AS (SELECT 0 AS level, event_id AS node, CAST(value AS DOUBLE) AS v, count(*) OVER () AS left_ FROM events
+UNION ALL SELECT level, node, v, count(*) OVER () FROM (SELECT level + 1 AS level, node // {branch} AS node, sum(v) AS v FROM t WHERE left_ > 1 GROUP BY 1, 2))
+SELECT CAST(level AS INTEGER) AS level, node, round(v, 4) AS v FROM t WHERE level > 0"""
 
 
-@query("""WITH RECURSIVE t AS (SELECT 0 AS level, event_id AS node, CAST(value AS DOUBLE) AS v, count(*) OVER () AS left_ FROM events
-UNION ALL SELECT level, node, v, count(*) OVER () FROM (SELECT level + 1 AS level, node // 4 AS node, sum(v) AS v FROM t WHERE left_ > 1 GROUP BY 1, 2))
-SELECT CAST(level AS INTEGER) AS level, node, round(v, 4) AS v FROM t WHERE level > 0""")
-def red_tree_root(spark, sf_dir) -> DataFrame:
-    """``red_tree`` up to the level of one node."""
+def _tree(spark, sf_dir, branch: int) -> DataFrame:
+    """Sums of ``branch`` nodes of the level below, up to the level of one node."""
     level, found, r = values(spark, sf_dir).frame().select(F.col("i0").alias("node"), "v"), None, 0
     low, high = level.agg(F.min("node"), F.max("node")).first()
-    if low is None:
-        return level.select(F.lit(0).alias("level"), "node", "v").limit(0)
     while low != high:
-        r, low, high = r + 1, low // 4, high // 4
-        level = level.groupBy(F.floor(F.col("node") / 4).alias("node")).agg(F.sum("v").alias("v"))
+        r, low, high = r + 1, low // branch, high // branch
+        level = level.groupBy(floor_div(F.col("node"), branch).alias("node")).agg(F.sum("v").alias("v"))
         here = level.select(F.lit(r).alias("level"), "node", F.round("v", 4).alias("v"))
         found = here if found is None else found.unionByName(here)
     return level.select(F.lit(0).alias("level"), "node", "v").limit(0) if found is None else found
 
 
+@query(_tree_sql(8))
+def red_tree(spark, sf_dir) -> DataFrame:
+    return _tree(spark, sf_dir, 8)
+
+
+@query(_tree_sql(4))
+def red_tree_root(spark, sf_dir) -> DataFrame:
+    return _tree(spark, sf_dir, 4)
+
+
 @query("SELECT coalesce(max(abs(a.value - b.value)), 0) AS residual, bool_and(abs(a.value - b.value) <= 1e-9) AS close, bool_or(isnan(a.value)) AS nan FROM events a JOIN events b USING (event_id)")
 def red_allclose(spark, sf_dir) -> DataFrame:
     a = values(spark, sf_dir)
@@ -388,10 +435,20 @@ def scan_version(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.max(F.col("event_id") % 97).over(_user().rowsBetween(Window.unboundedPreceding, 0)).alias("version"))
 
 
-@query("SELECT event_id FROM events WHERE event_id < 300 UNION ALL SELECT event_id FROM events WHERE event_id < 100")
+@query("SELECT event_id AS k FROM events UNION ALL SELECT o_orderkey FROM orders")
 def set_union_all(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id")
-    return e.filter("event_id < 300").unionAll(e.filter("event_id < 100"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k")).unionAll(orders)
+
+
+@query("SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS n FROM (SELECT user_id, event_type FROM events UNION SELECT o_custkey, o_orderstatus FROM orders) GROUP BY 1")
+def set_union_distinct(spark, sf_dir) -> DataFrame:
+    """Each key's values from both tables, once: partial sets are merged as arrays of a few states."""
+    left = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    right = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.collect_set("o_orderstatus").alias("b"))
+    none = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("a", none), F.coalesce("b", none))
+    return left.join(right, "user_id", "full").select("user_id", F.size(both).cast("long").alias("n"))
 
 
 @query("SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase'")

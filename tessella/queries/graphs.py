@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import int_div, task_parts
 from tessella.operators import graphs as G
 from tessella.session import table
 
@@ -74,6 +75,61 @@ def trace_parse(spark, sf_dir) -> DataFrame:
     return G.task_times(G.parse_trace(_lines(spark, TRACE_LINES)))
 
 
+@query("""SELECT 'O' AS space, '[' || o_orderkey || ', ' || o_custkey || ']' AS idx, CAST(o_orderkey % 1000 AS DOUBLE) AS time, (o_orderkey % 4) / 4.0::DOUBLE AS vcus, o_custkey AS memory,
+CASE WHEN o_orderkey % 3 = 0 THEN '[]' ELSE '[O_' || o_orderkey // 3 || '_' || o_custkey || ']' END AS deps, '[' || o_custkey || ']' AS reads, '[]' AS writes, '[' || o_orderkey || ', ' || o_custkey || ']' AS read_writes FROM orders""")
+def graph_round_trip(spark, sf_dir) -> DataFrame:
+    """A task for each order, written as lines and read back."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.concat_ws("_", F.lit("O"), int_div(k, 3).cast("string"), c.cast("string"))
+    none = F.array().cast("array<bigint>")
+    tasks = table(spark, sf_dir, "orders").select(
+        F.lit("O").alias("space"), F.array(k, c).alias("idx"), (k % 1000).cast("double").alias("time"), ((k % 4) / 4.0).alias("vcus"), c.alias("memory"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(name)).alias("deps"), F.array(c).alias("reads"), none.alias("writes"), F.array(k, c).alias("read_writes"),
+    )
+    found = G.parse_tasks(G.task_lines(tasks))
+    return found.withColumns({c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")) for c in ("idx", "deps", "reads", "writes", "read_writes")})
+
+
+@query("""SELECT 'T_' || o_orderkey AS task, o_orderkey AS assigned_t, o_orderkey + 5 AS start_t, o_orderkey + 5 + o_custkey AS end_t, o_custkey AS duration FROM orders""")
+def trace_round_trip(spark, sf_dir) -> DataFrame:
+    """A trace with three lines for each order, and one of a data task that is left out."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    line = lambda t, what, name, data: F.format_string(f"[%d] >> {what} InnerTask{{ name: {name}, instance: 0, is_data_task: {data}}}", t, k)
+    lines = F.array(line(k, "Assigned", "T_%d", 0), line(k + 5, "Running", "T_%d", 0), line(k + 6, "Running", "T_%d.dm.0", 1), line(k + 5 + c, "Completed", "T_%d", 0))
+    return G.task_times(G.parse_trace(table(spark, sf_dir, "orders").select(F.explode(lines).alias("value"))))
+
+
+@query("""SELECT name, CASE WHEN k % 2 = 0 THEN 'T_x' ELSE 'plain_' END AS space, CASE WHEN k % 2 = 0 THEN '[' || k || ', -' || c || ']' ELSE '[]' END AS idx
+FROM (SELECT o_orderkey AS k, o_custkey + 1 AS c, CASE WHEN o_orderkey % 2 = 0 THEN 'T_x_' || o_orderkey || '_-' || (o_custkey + 1) ELSE 'plain_' END AS name FROM orders)""")
+def graph_name_parse(spark, sf_dir) -> DataFrame:
+    k, c = F.col("o_orderkey").cast("string"), (F.col("o_custkey") + 1).cast("string")
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("T_x_"), k, F.lit("_-"), c)).otherwise(F.lit("plain_"))
+    space, idx = task_parts(F.col("name"))
+    return table(spark, sf_dir, "orders").select(name.alias("name")).select("name", space.alias("space"), F.concat(F.lit("["), F.array_join(idx.cast("array<string>"), ", "), F.lit("]")).alias("idx"))
+
+
+@query("""SELECT c_custkey AS k, 'there' AS origin FROM customer WHERE c_acctbal < 0 UNION ALL
+SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def set_upsert(spark, sf_dir) -> DataFrame:
+    there = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit("there").alias("origin"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit("new").alias("origin")).distinct()
+    return G.upserted(there, rows, "k")
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS dst, c_custkey // 2 AS src FROM customer WHERE c_custkey > 0),
+a AS (SELECT c_custkey AS task, x AS arr, CASE WHEN (c_custkey + x) % 3 = 0 THEN 'INOUT' ELSE 'IN' END AS mode FROM customer, range(2) r(x) WHERE (c_custkey + x) % 5 <> 0),
+h AS (SELECT task, arr FROM a WHERE mode <> 'IN' UNION SELECT a.task, a.arr FROM h JOIN e ON e.src = h.task JOIN a ON a.task = e.dst AND a.arr = h.arr)
+SELECT a.task, a.arr AS "array", e.src AS dep FROM a JOIN e ON e.dst = a.task JOIN h ON h.task = e.src AND h.arr = a.arr""")
+def graph_array_dependencies(spark, sf_dir) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    edges = customers.filter("c_custkey > 0").select(int_div(key, 2).alias("src"), key.alias("dst"))
+    both = customers.select(key.alias("task"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("array"))
+    place = F.col("task") + F.col("array")
+    accesses = both.filter(place % 5 != 0).withColumn("mode", F.when(place % 3 == 0, "INOUT").otherwise("IN"))
+    return G.array_dependencies(edges, accesses)
+
+
 _EDGES = "edges AS (SELECT o_orderkey AS dst, o_orderkey // 3 AS src FROM orders WHERE o_orderkey > 0)"
 _TIMES = "times AS (SELECT o_orderkey AS task, o_orderkey * 10 AS start_t, o_orderkey * 10 + o_custkey AS end_t FROM orders)"
 

@@ -63,12 +63,26 @@ def cholesky_blocked(spark, sf_dir) -> DataFrame:
     return gap.frame().agg(F.sqrt(F.count("*")).cast("int").alias("n"), (F.max(F.abs("v")) < 1e-8).alias("exact"))
 
 
-@query("""WITH c AS (SELECT vec_id AS r, unnest(range(0, 8)) AS c, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 8)
-SELECT k AS i0, l AS i1, round(sum(x * cos(-2 * pi() * (k * r + l * c) / 8)), 4) + 0 AS re, round(sum(x * sin(-2 * pi() * (k * r + l * c) / 8)), 4) + 0 AS im
+_FOLDED = "c AS (SELECT vec_id % 8 AS r, j % 8 AS c, sum(x) AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)"
+
+
+def folded(spark, sf_dir) -> DataFrame:
+    """Sums of all elements by place modulo 8: 8 x 8 cells that every row feeds."""
+    e = matrix(spark, sf_dir).frame()
+    return e.groupBy((F.col("i0") % 8).alias("i0"), (F.col("i1") % 8).alias("i1")).agg(F.sum("v").alias("re")).withColumn("im", F.lit(0.0))
+
+
+@query(f"""WITH {_FOLDED} SELECT CAST(k AS BIGINT) AS i0, CAST(l AS BIGINT) AS i1, round(sum(x * cos(-2 * pi() * (k * r + l * c) / 8)), 4) + 0 AS re, round(sum(x * sin(-2 * pi() * (k * r + l * c) / 8)), 4) + 0 AS im
 FROM c, range(8) a(k), range(8) b(l) GROUP BY 1, 2""")
 def fft2_small(spark, sf_dir) -> DataFrame:
-    cells = matrix(spark, sf_dir)[:8, :8].frame().select("i0", "i1", F.col("v").alias("re"), F.lit(0.0).alias("im"))
-    found = linalg.fft2(cells, (8, 8))
+    found = linalg.fft2(folded(spark, sf_dir), (8, 8))
+    return found.select("i0", "i1", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(f"WITH {_FOLDED} SELECT CAST(r AS BIGINT) AS i0, CAST(c AS BIGINT) AS i1, round(64 * x, 4) + 0 AS re, CAST(0 AS DOUBLE) AS im FROM c")
+def fft2_inverse(spark, sf_dir) -> DataFrame:
+    """There and back, neither way normalised: the cells times their number."""
+    found = linalg.fft2(linalg.fft2(folded(spark, sf_dir), (8, 8)), (8, 8), inverse=True)
     return found.select("i0", "i1", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
