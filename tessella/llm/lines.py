@@ -38,7 +38,8 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def active_lines(lines: DataFrame) -> DataFrame:
     """The lines that occur twice or more; ``island`` numbers the unbroken stretches of them in a document."""
-    repeated = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line")
+    # Saved, so that both sides of the join are plain shuffles: then Spark splits the rows of a very common line.
+    repeated = saved(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line"))
     order = Window.partitionBy(*_DOC).orderBy("seq")
     return lines.join(repeated, "line").withColumn("island", F.col("seq") - F.row_number().over(order))
 
