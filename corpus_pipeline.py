@@ -27,12 +27,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs of lines; documents that lose their last word that way go.
 
     Null and empty texts stay as they are. A null id comes after all others; rows with equal id and text are one
-    document and lose the same lines. ``n_chars``, if there, is counted anew; other columns are kept.
+    document and lose the same lines. ``n_chars``, if there, is counted anew where lines go; other columns are kept.
     """
     kept, removed = unused(docs, "n_lines", "n_removed")
     cut = lines.dedup_lines(docs, names=(kept, removed))
     cut = cut.filter((F.col(removed) == 0) | (F.col(removed) < F.col(kept)))
-    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    changed = {}
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(removed) > 0, counted).otherwise(F.col("n_chars"))
     return cut.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
