@@ -12,45 +12,55 @@ from .common import table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses in each whole text of ``documents``, by patience alignment with all templates."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each whole text and of the bytes that they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each whole text."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document: all links of 4 bits or fewer among all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all rules under the current policy."""
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     return quality.apply_policy(entries).select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "failures")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in windows of all benchmark items, and those items."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without later copies of runs of lines with 50 words or more, as a digest."""
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document, for shards of a megabyte of text."""
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each document, by a model of the training folds' positives and unlabelled documents."""
     documents = table(spark, sf_dir, "documents")
     return classifier.classify(documents, classifier.train(documents, table(spark, sf_dir, "labels")))
 
