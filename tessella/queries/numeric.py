@@ -32,7 +32,7 @@ def kmeans_assign(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_START}, {_ROUND.format(n=0, m=1)} SELECT k, CAST(j AS INTEGER) AS j, round(x, 6) AS x FROM c1")
 def kmeans_update(spark, sf_dir) -> DataFrame:
     rows, centres = points(spark, sf_dir)
-    moved = clusters.update(clusters.assign(rows, centres), centres)
+    moved = clusters.moved(rows, centres)
     return moved.select("k", F.posexplode("c").alias("j", "x")).select("k", "j", F.round("x", 6).alias("x"))
 
 

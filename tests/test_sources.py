@@ -130,6 +130,22 @@ def test_a_centre_without_points_stays(spark):
     assert moved == {0: [1.5, 0.0], 1: [900.0, 0.0]}
 
 
+def test_points_without_a_centre(spark):
+    rows = [(0, [0.0, 1.0]), (1, None), (2, [1.0]), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [5.0, 5.0]), (6, [2.0, 2.0])]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    centres = spark.createDataFrame([(7, [4.0, 4.0]), (3, [0.0, 0.0])], "k int, c array<double>")
+    found = {r["id"]: (r["k"], r["d"]) for r in clusters.assign(points, centres).collect()}
+    assert found == {0: (3, 1.0), 5: (7, 2.0), 6: (3, 8.0)} | {i: (None, None) for i in (1, 2, 3, 4)}
+    want = {3: [1.0, 1.5], 7: [5.0, 5.0]}
+    assert {r["k"]: r["c"] for r in clusters.moved(points, centres).collect()} == want
+    assert {r["k"]: r["c"] for r in clusters.update(clusters.assign(points, centres), centres).collect()} == want
+    assert clusters.assign(points.limit(0), centres).count() == 0 == clusters.moved(points, centres.limit(0)).count()
+    assert all(r["k"] is None for r in clusters.assign(points, centres.limit(0)).collect())
+    with np.errstate(invalid="ignore"):
+        many = clusters.nearest(np.random.default_rng(0).random((50, 3)), np.random.default_rng(1).random((2000, 3)))
+    assert many[0].max() > 50
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://somewhere:7077"
