@@ -12,6 +12,7 @@ from tessella.functions import (
     floor_mod,
     int_div,
     ravelled,
+    shard_of,
     shard_of_cell,
     shift_left,
     shift_right,
@@ -265,6 +266,15 @@ def arr_conversions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.cast("string").alias("s"), F.hex(i).alias("h"), F.col("value").cast("long").alias("i"), i.cast("double").alias("f"))
 
 
+@query("""SELECT event_id, printf('%o', event_id) AS o, value AS re, CAST(0 AS DOUBLE) AS im, sqrt(value * value) AS size, hex(encode(event_type)) AS raw, CAST(strlen(event_type) AS INTEGER) AS n_raw FROM events""")
+def arr_conversions_more(spark, sf_dir) -> DataFrame:
+    """Octal text, complex numbers as their parts, and bytes."""
+    i, z = F.col("event_id"), F.struct(F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    rows = table(spark, sf_dir, "events").select(i, F.lower(F.conv(i.cast("string"), 10, 8)).alias("o"), z.alias("z"), F.encode("event_type", "UTF-8").alias("b"))
+    size = F.sqrt(F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im"))
+    return rows.select("event_id", "o", "z.re", "z.im", size.alias("size"), F.hex("b").alias("raw"), F.length("b").alias("n_raw"))
+
+
 @query(f"""WITH {CELLS}, g AS (SELECT a.j AS k, b.j AS j, sum(a.x * b.x) AS x FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)
 SELECT e.vec_id AS i0, g.j AS i1, round(sum(e.x * g.x), 4) + 0 AS v FROM e JOIN g ON g.k = e.j GROUP BY 1, 2""")
 def mat_mul(spark, sf_dir) -> DataFrame:
@@ -478,6 +488,42 @@ def set_intersect(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).intersect(poor)
 
 
+@query("""WITH u AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events GROUP BY 1), o AS (SELECT o_custkey, list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'purchase' ELSE 'view' END) AS s FROM orders GROUP BY 1)
+SELECT user_id, len(list_intersect(u.s, o.s)) = len(o.s) AS holds, len(list_intersect(u.s, o.s)) = len(u.s) AS is_held FROM u JOIN o ON user_id = o_custkey""")
+def set_subset(spark, sf_dir) -> DataFrame:
+    """Whether one set of a few names holds another, and the other way round."""
+    status = F.when(F.col("o_orderstatus") == "F", "click").when(F.col("o_orderstatus") == "O", "purchase").otherwise("view")
+    left = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    right = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.collect_set(status).alias("b"))
+    holds = lambda x, y: F.size(F.array_except(y, x)) == 0
+    return left.join(right, "user_id").select("user_id", holds("a", "b").alias("holds"), holds("b", "a").alias("is_held"))
+
+
+@query("""SELECT event_id, rank() OVER w AS place, dense_rank() OVER w AS dense, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS share,
+lead(event_id, 2) OVER w AS next2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def scan_ranks(spark, sf_dir) -> DataFrame:
+    w, i = _user(), F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        i, F.rank().over(w).cast("long").alias("place"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(w).cast("long").alias("quarter"),
+        F.round(F.percent_rank().over(w), 6).alias("share"), F.lead("event_id", 2).over(w).alias("next2"),
+    )
+
+
+@query("SELECT CAST(((event_id + 1) * 8 - 1) // n AS INTEGER) AS part, count(*) AS n, round(sum(value * value), 4) AS squares, max(value) AS high FROM events, (SELECT max(event_id) + 1 AS n FROM events) GROUP BY 1")
+def shard_bodies(spark, sf_dir) -> DataFrame:
+    """A Python body over eight shards: each batch leaves a row for each shard in it, and those are added up."""
+    v = values(spark, sf_dir)
+    rows = v.frame().select(shard_of(F.col("i0"), len(v), 8).alias("part"), F.col("v").cast("double").alias("v"))
+
+    def body(batches):
+        for batch in batches:
+            found = batch.groupby("part")["v"].agg(n="count", squares=lambda x: float((x * x).sum()), high="max")
+            yield found.reset_index()
+
+    parts = rows.mapInPandas(body, "part int, n long, squares double, high double")
+    return parts.groupBy("part").agg(F.sum("n").alias("n"), F.round(F.sum("squares"), 4).alias("squares"), F.max("high").alias("high"))
+
+
 @query("SELECT event_id, coalesce(t.name, 'default') AS variant FROM events LEFT JOIN (VALUES ('click', 'sql'), ('purchase', 'arrow')) t(event_type, name) USING (event_type)")
 def variant_dispatch(spark, sf_dir) -> DataFrame:
     names = spark.createDataFrame([("click", "sql"), ("purchase", "arrow")], "event_type string, name string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import int_div, task_parts
 from tessella.operators import graphs as G
+from tessella.operators.positions import with_position
 from tessella.session import table
 
 from . import query
@@ -130,6 +131,14 @@ def graph_array_dependencies(spark, sf_dir) -> DataFrame:
     return G.array_dependencies(edges, accesses)
 
 
+@query("SELECT o_orderkey AS task, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS pos FROM orders")
+def graph_shuffle(spark, sf_dir) -> DataFrame:
+    """Tasks in an order by hashes, which another seed changes and another partitioning does not."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("task"), F.md5(F.concat(F.lit("7:"), key.cast("string"))).alias("h"))
+    return with_position(rows, "h", "task").select("task", "pos")
+
+
 _EDGES = "edges AS (SELECT o_orderkey AS dst, o_orderkey // 3 AS src FROM orders WHERE o_orderkey > 0)"
 _TIMES = "times AS (SELECT o_orderkey AS task, o_orderkey * 10 AS start_t, o_orderkey * 10 + o_custkey AS end_t FROM orders)"
 

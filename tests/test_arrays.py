@@ -114,3 +114,25 @@ def test_windows_on_a_stream_equal_the_batch(spark, tmp_path):
     running.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(120)
     count = lambda frame: sorted((r["start"], r["event_type"], r["n"]) for r in frame.collect())
     assert count(spark.table("windowed")) == count(streaming.windowed(events))
+
+
+def ran(spark, tmp_path, batch, query, name, mode):
+    """What a query over event time gives on a stream of two files."""
+    batch.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = query(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    running.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(120)
+    return spark.table(name)
+
+
+def test_repeated_events_on_a_stream_come_once(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    found = ran(spark, tmp_path, events.unionByName(events), lambda s: streaming.first_seen(s, "1000 days"), "seen", "append")
+    assert found.count() == found.select("event_id").distinct().count() == events.count()
+
+
+def test_sessions_on_a_stream_equal_the_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    found = ran(spark, tmp_path, events, lambda s: streaming.sessions(s, late="1000 days"), "sessions", "complete")
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(found) == rows(streaming.sessions(events))
