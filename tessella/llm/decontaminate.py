@@ -62,10 +62,12 @@ def _verified(texts: DataFrame, needed: DataFrame, n: int, small: bool) -> DataF
     if small:  # compiles into the stage that cuts the shingles: a row leaves it, without words, when verified
         found = cut.join(F.broadcast(needed), "shingle").filter(inside).withColumn("start", start).filter(there)
     else:
-        met = cut.select(*_DOC, "at", "shingle", "n_words").join(needed, "shingle").filter(inside)
-        met = met.select(F.col("doc_id").alias("met_id"), F.col("text_id").alias("met_text"), "window_id", start.alias("start"), "length", "phrase").distinct()
-        own = texts.dropDuplicates(list(_DOC))
-        found = met.join(own, own["doc_id"].eqNullSafe(F.col("met_id")) & (own["text_id"] == F.col("met_text"))).filter(there)
+        # One key without nulls for rows of equal id: the words are shuffled once, for the copies and for the join.
+        key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+        met = cut.select(key.alias("key"), "text_id", "at", "shingle", "n_words").join(needed, "shingle").filter(inside)
+        met = met.select("key", "text_id", "window_id", start.alias("start"), "length", "phrase").distinct()
+        own = texts.withColumn("key", key).dropDuplicates(["key", "text_id"])
+        found = met.join(own, ["key", "text_id"]).filter(there)
     return found.select(*_DOC, "window_id", "start", "length")
 
 
