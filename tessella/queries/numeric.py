@@ -52,17 +52,32 @@ def homogeneity(spark, sf_dir) -> DataFrame:
     return found.select(F.round("homogeneity", 6).alias("homogeneity"))
 
 
-@query("SELECT 64 AS n, true AS exact")
-def cholesky_blocked(spark, sf_dir) -> DataFrame:
-    """The factor of I + EᵀE, checked against it."""
+def factored(spark, sf_dir) -> tuple[GridArray, GridArray]:
+    """I + EᵀE and its lower factor."""
     e = matrix(spark, sf_dir)
     gram = e.transpose().matmul(e).map(lambda v: v + F.when(F.col("i0") == F.col("i1"), 1.0).otherwise(0.0))
     lower = linalg.untiled(linalg.cholesky(gram.tiles(16), 4), 16)
-    factor = GridArray(lower, (64, 64), F.col("v"))
+    return gram, GridArray(lower, (64, 64), F.col("v"))
+
+
+@query("SELECT 64 AS n, true AS exact")
+def cholesky_blocked(spark, sf_dir) -> DataFrame:
+    """The factor of I + EᵀE, checked against it."""
+    gram, factor = factored(spark, sf_dir)
     gap = factor.matmul(factor.transpose()).apply("-", gram)
     return gap.frame().agg(F.sqrt(F.count("*")).cast("int").alias("n"), (F.max(F.abs("v")) < 1e-8).alias("exact"))
 
 
+@query(f"""WITH {CELLS} SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END, 4) + 0 AS v, CAST(2080 AS BIGINT) AS lower
+FROM e a JOIN e b USING (vec_id) GROUP BY a.j, b.j""")
+def cholesky_product(spark, sf_dir) -> DataFrame:
+    """The factor times its transpose, which gives the matrix again; and its 64 * 65 / 2 cells that may differ from zero."""
+    _, factor = factored(spark, sf_dir)
+    kept = factor.frame().filter("i0 >= i1 or v <> 0").agg(F.count("*").alias("lower"))
+    product = factor.matmul(factor.transpose()).frame().crossJoin(F.broadcast(kept))  # one row
+    return product.select("i0", "i1", (F.round("v", 4) + 0.0).alias("v"), "lower")
+
+
 _FOLDED = "c AS (SELECT vec_id % 8 AS r, j % 8 AS c, sum(x) AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)"
 
 
