@@ -100,6 +100,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     place = F.struct(F.col("doc_id").isNull().alias("u"), *_DOC, "start")
     named = saved(named.select(*interval, *_DOC, "start", place.alias("place")))
     first = named.groupBy(*interval).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = saved(first)  # as above, for an interval with very many occurrences
     later = named.join(first, interval).filter(F.col("place") != F.col("first"))
     seqs = later.select(*_DOC, F.explode(F.expr("sequence(start, start + length - 1)")).alias("seq")).distinct()
     where = active.select(*_DOC, "seq", "pos")
