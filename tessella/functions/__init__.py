@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,11 +68,16 @@ def shard_of(i: Column, n: int | Column, shards: int) -> Column:
     return int_div((i.cast("long") + 1) * shards - 1, n).cast("int")
 
 
-def shard_of_cell(axes: list[Column], shape: tuple[int, ...], grid: tuple[int, ...]) -> Column:
+def share_of(i: Column, n: int | Column, shards: int) -> Column:
+    """The shard of row i of n where row i belongs to its share i*shards/n, rounded down."""
+    return int_div(i.cast("long") * shards, n).cast("int")
+
+
+def shard_of_cell(axes: list[Column], shape: tuple[int, ...], grid: tuple[int, ...], split: Callable[..., Column] = shard_of) -> Column:
     """The shard, numbered row by row, of a cell of an array that is split along each axis into ``grid`` parts."""
     found = F.lit(0)
     for i, n, g in zip(axes, shape, grid, strict=True):
-        found = found * g + shard_of(i, n, g)
+        found = found * g + split(i, n, g)
     return found.cast("int")
 
 

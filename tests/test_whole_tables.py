@@ -1,8 +1,10 @@
 """Queries whose operands grow with their tables."""
 
+import duckdb
 import pytest
+from compare import differences
 
-from tessella.queries import QUERIES
+from tessella.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,13 @@ def test_every_row_feeds_the_product(spark):
     diagonal = QUERIES["mat_mul_gram"](spark, SF).filter("i0 = i1").agg({"v": "sum"}).first()[0]
     squares = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("sum(aggregate(embedding, 0D, (s, x) -> s + double(x) * double(x)))").first()[0]
     assert diagonal == pytest.approx(squares, abs=1e-2)
+
+
+def test_grid_shards_of_rows_that_do_not_divide(spark, tmp_path):
+    """1 to 13 rows, so that four parts are seldom equal."""
+    for n in range(1, 14):
+        folder = str(tmp_path / str(n))
+        spark.range(n).selectExpr("id as vec_id", "transform(sequence(0, 63), x -> float(x)) as embedding").write.parquet(f"{folder}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+        assert differences(QUERIES["arr_grid_shards"](spark, folder), con, ORACLES["arr_grid_shards"]) == ""
