@@ -107,6 +107,21 @@ def test_quick_sort_with_many_equal_values(spark):
     assert sorting.quick_sort(spark.createDataFrame([], "v long, i long"), "v", "i").count() == 0
 
 
+def test_columns_of_any_name_rank_over_several_ranges(spark):
+    rows = [(p, (7 * i + p) % 500) for p in range(2) for i in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "_part int, v int").withColumns({"_v": F.lit(1), "_run": F.lit(2)}).repartition(4)
+        ranks = with_position(frame, "v", by=["_part"])
+        assert ranks.columns == ["_part", "v", "_v", "_run", "pos"]
+        assert all(r["pos"] == r["v"] for r in ranks.collect())
+        events = spark.range(4000).select(F.col("id").alias("event_id"), ((F.col("id") * 7) % 1000).alias("value"))
+        placed = sorting.quick_sort(events, "value", "event_id", least=1500).orderBy("value", "event_id").collect()
+        assert [r["pos"] for r in placed] == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_no_device_is_dropped(spark, monkeypatch):
     monkeypatch.setattr(placement, "SENT_DEVICES", 3)
     devices = spark.range(8).selectExpr("int(id) device", "100L memory", "1000L vcus", "id load")
