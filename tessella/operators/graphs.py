@@ -154,20 +154,21 @@ def array_dependencies(edges: DataFrame, accesses: DataFrame) -> DataFrame:
 
     ``accesses`` has ``task``, ``array``, ``mode``. A task that writes an array is waited for; one that only reads it
     (``IN``) is waited for if it waits itself. So what has to be waited for spreads along edges between readers, by
-    rounds that each go one edge further; the edges must have no cycle.
+    rounds that each go one edge further; the edges must have no cycle. What joins is shuffled and merged: tables sent
+    to all executors would pass through the driver in each round.
     """
     own = accesses.groupBy("task", "array").agg(F.bool_and(F.col("mode") == "IN").alias("reads"))
-    along = edges.select(F.col("src").alias("dep"), F.col("dst").alias("task")).distinct().join(own, "task")
-    along = written(along.join(own.select(F.col("task").alias("dep"), "array"), ["dep", "array"]))
+    along = edges.select(F.col("src").alias("dep"), F.col("dst").alias("task")).distinct().join(own.hint("merge"), "task")
+    along = written(along.join(own.select(F.col("task").alias("dep"), "array").hint("merge"), ["dep", "array"]))
     held = fresh = written(own.filter("not reads").select(F.col("task").alias("dep"), "array"))
     readers = along.filter("reads")
     while True:
-        next_ = readers.join(fresh, ["dep", "array"]).select(F.col("task").alias("dep"), "array").distinct()
-        fresh = written(next_.join(held, ["dep", "array"], "left_anti"))
+        next_ = readers.join(fresh.hint("merge"), ["dep", "array"]).select(F.col("task").alias("dep"), "array").distinct()
+        fresh = written(next_.join(held.hint("merge"), ["dep", "array"], "left_anti"))
         if fresh.isEmpty():
             break
         held = written(held.unionByName(fresh))
-    return along.join(held, ["dep", "array"]).select("task", "array", "dep")
+    return along.join(held.hint("merge"), ["dep", "array"]).select("task", "array", "dep")
 
 
 def upserted(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
@@ -180,12 +181,15 @@ def upserted(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """``node``, ``level``: the longest path to each node from one without parents. The edges must have no cycle."""
+    """``node``, ``level``: the longest path to each node from one without parents. The edges must have no cycle.
+
+    The joins of each round are shuffled and merged, as in ``array_dependencies``.
+    """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     found = written(nodes.select("node", F.lit(0).alias("level")))
     while True:
-        pushed = edges.join(found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("up")), "src").groupBy("dst").agg(F.max("up").alias("up"))
-        after = found.join(pushed, found["node"] == pushed["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
+        pushed = edges.join(found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("up")).hint("merge"), "src").groupBy("dst").agg(F.max("up").alias("up"))
+        after = found.join(pushed.hint("merge"), found["node"] == pushed["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
         after = written(after)
         found = after.select("node", "level")
         if after.filter("old <> level").isEmpty():

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from compare import differences
 
+from tessella.operators import graphs
 from tessella.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,17 @@ def test_grid_shards_of_rows_that_do_not_divide(spark, tmp_path):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
         assert differences(QUERIES["arr_grid_shards"](spark, folder), con, ORACLES["arr_grid_shards"]) == ""
+
+
+@pytest.mark.parametrize("name", ["graph_array_dependencies", "graph_levels"])
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch, name):
+    plans, written = [], graphs.written
+
+    def recorded(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame)
+
+    monkeypatch.setattr(graphs, "written", recorded)
+    found = QUERIES[name](spark, SF)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
