@@ -14,13 +14,21 @@ from .positions import running_sum
 BASE, LOCAL, AWAY, LOAD = 50, 30, 30, 10
 #: Devices up to which their table is sent to all executors; a longer one is joined as Spark chooses.
 SENT_DEVICES = 10_000
+#: Tasks of the graph whose scores are made in one Spark task, about; more of them make more Spark tasks.
+TASKS_OF_A_PART = 1 << 18
+
+
+def parts_of(tasks: DataFrame) -> int:
+    """Partitions for rows of ``tasks``, so that the memory of one is the same for a table of any length."""
+    return max(tasks.sparkSession.sparkContext.defaultParallelism, -(-tasks.count() // TASKS_OF_A_PART))
 
 
 def scores(tasks: DataFrame, reads: DataFrame, copies: DataFrame, devices: DataFrame) -> DataFrame:
     """``task``, ``device``, ``score`` for every device with the capacity for a task.
 
     ``tasks``: task, memory, vcus. ``reads``: task, array, bytes. ``copies``: array, device. ``devices``: device,
-    memory, vcus, load (tasks mapped to it). Bytes that a device holds count for it, the others against it.
+    memory, vcus, load (tasks mapped to it). Bytes that a device holds count for it, the others against it. A task has
+    its bytes by device in one row, so that all meets by task alone, in one shuffle with ``parts_of`` partitions.
     """
     total = devices.agg(F.sum("load").alias("total"))
     share = F.when(F.col("total") > 0, F.col("load") / F.col("total")).otherwise(0.0)
@@ -28,11 +36,14 @@ def scores(tasks: DataFrame, reads: DataFrame, copies: DataFrame, devices: DataF
         "device", F.col("memory").alias("has_memory"), F.col("vcus").alias("has_vcus"), share.alias("share")
     )
     able = F.broadcast(able) if devices.count() <= SENT_DEVICES else able
-    able = tasks.join(able, (F.col("memory") <= F.col("has_memory")) & (F.col("vcus") <= F.col("has_vcus"))).select("task", "device", "share")
+    kind, parts = devices.schema["device"].dataType, parts_of(tasks)
     held = reads.join(copies, "array").groupBy("task", "device").agg(F.sum("bytes").alias("near"))
-    needed = reads.groupBy("task").agg(F.sum("bytes").alias("all"))
-    near, every = F.coalesce("near", F.lit(0)), F.coalesce("all", F.lit(0))
-    joined = able.join(needed, "task", "left").join(held, ["task", "device"], "left")
+    held = held.filter("device is not null").select("task", F.lit(None).alias("all"), F.struct(F.col("device").cast(kind), "near").alias("on"))
+    needed = reads.groupBy("task").agg(F.sum("bytes").alias("all")).select("task", "all", F.lit(None).alias("on"))
+    moved = needed.unionByName(held).repartition(parts, "task").groupBy("task").agg(F.sum("all").alias("all"), F.map_from_entries(F.collect_list("on")).alias("held"))
+    joined = tasks.repartition(parts, "task").join(moved.hint("merge"), "task", "left")
+    joined = joined.join(able, (F.col("memory") <= F.col("has_memory")) & (F.col("vcus") <= F.col("has_vcus")))
+    near, every = F.coalesce(F.try_element_at("held", F.col("device")), F.lit(0)), F.coalesce("all", F.lit(0))
     return joined.select("task", "device", (BASE + LOCAL * near - AWAY * (every - near) - LOAD * F.col("share")).alias("score"))
 
 
@@ -43,7 +54,12 @@ def choose(scored: DataFrame, start: int = 0, count: int = 1) -> DataFrame:
 
 
 def choose_option(scored: DataFrame, members: DataFrame) -> DataFrame:
-    """The best option of each task. ``members``: task, option, device. All must have scores; the mean counts."""
+    """The best option of each task. ``members``: task, option, device. All must have scores; the mean counts.
+
+    Without ``task`` in ``members`` all tasks have the same options, which then are sent to where the scores are.
+    """
+    if "task" not in members.columns:
+        return _choose_common_option(scored, members)
     met = members.join(scored, ["task", "device"], "left").groupBy("task", "option").agg(
         F.avg("score").alias("score"), F.bool_and(F.col("score").isNotNull()).alias("able"), (F.count_distinct("device") == F.count("*")).alias("apart")
     )
@@ -51,6 +67,20 @@ def choose_option(scored: DataFrame, members: DataFrame) -> DataFrame:
     return met.groupBy("task").agg(F.max_by("option", F.struct("score", "option")).alias("option"), F.max("score").alias("score"))
 
 
+def _choose_common_option(scored: DataFrame, members: DataFrame) -> DataFrame:
+    options = members.groupBy("option").agg(F.collect_list("device").alias("devices"), F.count("*").alias("n"))
+    options = options.filter((F.size("devices") == F.col("n")) & (F.size(F.array_distinct("devices")) == F.col("n")))
+    options = options.agg(F.collect_list(F.struct("option", "devices")).alias("options"))  # one row
+    lists = scored.groupBy("task").agg(F.collect_list(F.struct("device", "score")).alias("scores")).crossJoin(F.broadcast(options))
+    fits = lambda o: F.filter("scores", lambda x: F.array_contains(o["devices"], x["device"]))
+    whole = lambda x: (F.size(x) == F.size(F.array_distinct(x["device"]))) & F.forall(x, lambda y: y["score"].isNotNull())
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y["score"]) / F.size(x)
+    met = F.transform("options", lambda o: F.struct(fits(o).alias("x"), o["option"].alias("option"), F.size(o["devices"]).alias("n")))
+    met = F.filter(met, lambda m: (F.size(m["x"]) == m["n"]) & whole(m["x"]))
+    best = F.array_max(F.transform(met, lambda m: F.struct(mean(m["x"]).alias("score"), m["option"].alias("option"))))
+    return lists.select("task", best.alias("best")).filter("best is not null").select("task", "best.option", "best.score")
+
+
 def admitted(requests: DataFrame, capacity: DataFrame) -> DataFrame:
     """Requests in order, ``admitted`` until the first on its device that doesn't fit; later ones wait behind it.
 

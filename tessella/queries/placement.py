@@ -43,9 +43,7 @@ o AS (SELECT task, option, avg(score) AS score FROM m JOIN scored USING (device)
 r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, option DESC) AS n FROM o) SELECT task, option, round(score, 4) AS score FROM r WHERE n = 1""")
 def place_multi(spark, sf_dir) -> DataFrame:
     options = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2), (2, 0)], "option int, device int")
-    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"))
-    members = tasks.crossJoin(F.broadcast(options))  # five rows a task
-    return P.choose_option(scored(spark, sf_dir), members).select("task", "option", F.round("score", 4).alias("score"))
+    return P.choose_option(scored(spark, sf_dir), options).select("task", "option", F.round("score", 4).alias("score"))
 
 
 @query("""WITH q AS (SELECT CAST(o_custkey % 4 AS INTEGER) AS device, o_orderkey AS seq, 1 + o_orderkey % 5 AS need FROM orders),

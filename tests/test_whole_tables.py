@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from compare import differences
 
-from tessella.operators import graphs
+from tessella.operators import graphs, placement
 from tessella.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,19 @@ def test_rounds_send_no_table_through_the_driver(spark, monkeypatch, name):
     found = QUERIES[name](spark, SF)
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["place_scores", "place_single", "place_multi"])
+def test_more_tasks_of_the_graph_make_more_spark_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(placement, "TASKS_OF_A_PART", 50, raising=False)
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == 30
+
+
+def test_common_options_equal_options_by_task(spark):
+    rows = [(t, d, float((7 * t + 3 * d) % 5)) for t in range(40) for d in range(4) if (t + d) % 3] + [(3, 0, 1.0), (5, 2, None), (None, 1, 2.0)]
+    scored = spark.createDataFrame(rows, "task long, device int, score double")
+    options = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (3, 3), (3, 3), (4, None), (5, 2), (5, None)], "option int, device int")
+    want = placement.choose_option(scored, spark.range(40).withColumnRenamed("id", "task").crossJoin(options))
+    found = placement.choose_option(scored.dropna(subset=["task"]), options)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert found.count() > 10
