@@ -142,15 +142,18 @@ def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """The connected components of links ``a``, ``b``: each node with the smallest one in its component, as ``label``.
 
-    Rounds of taking the lowest label among the neighbours, then the label of the label, until nothing changes.
+    Rounds of taking the lowest label among the neighbours, then the label of the label, until nothing changes. Their
+    joins are merged, so that no table passes the driver once a round. What a round has heard is written, so that the
+    hop joins two plain shuffles, of which a very common label is split over tasks.
     """
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, labels["node"] == heard["a"]).select("node", "label", F.least("label", "heard").alias("new"))
+        heard = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        lower = labels.join(heard.hint("merge"), labels["node"] == heard["a"])
+        lower = written(lower.select("node", "label", F.least("label", "heard").alias("new")))
         hop = lower.select(F.col("node").alias("new"), F.col("new").alias("hop"))
-        after = lower.join(hop, "new").select("node", F.col("label").alias("old"), F.least("new", "hop").alias("label"))
+        after = lower.join(hop.hint("merge"), "new").select("node", F.col("label").alias("old"), F.least("new", "hop").alias("label"))
         after = written(after)
         labels = after.select("node", "label")
         if after.filter("old <> label").isEmpty():
@@ -167,13 +170,18 @@ def _stars(shared: DataFrame, k: int) -> DataFrame:
     return both.filter(near).select(F.col("fp").alias("a"), F.col("a_fp").alias("b"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of blocks that hold several labels, with the block's commonest, ``major``, and how many have ``others``."""
+def _open(members: DataFrame, exploded: bool = False) -> DataFrame:
+    """Members of blocks that hold several labels, with the block's commonest, ``major``, and how many have ``others``.
+
+    Members that were ``exploded`` are merged: Spark takes them for as many rows as there were before, and would send
+    them all through the driver.
+    """
     counts = members.groupBy(*_BLOCK, "label").agg(F.count("*").alias("n"))
     blocks = counts.groupBy(*_BLOCK).agg(
         F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("others")
     )
-    return members.join(blocks.filter("others > 0"), _BLOCK)
+    blocks = blocks.filter("others > 0")
+    return members.join(blocks.hint("merge") if exploded else blocks, _BLOCK)
 
 
 def _pairs(opened: DataFrame, k: int) -> DataFrame:
@@ -194,7 +202,8 @@ def linked(fps: DataFrame, k: int = 4, crowd: int = CROWD) -> DataFrame:
     # As many tasks as a shuffle has: a small table would come in a few partitions, and each row becomes many here.
     rows = dealt(table.repartition(spread, "fp").withColumn("mask", F.lit(0).cast("long")), keys)
     heads = rows.groupBy(*_BLOCK).agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = saved(pivot_table(rows.join(heads, _BLOCK)))
+    # Merged: Spark takes exploded rows for as many as the table has, and would send them all through the driver.
+    shared = saved(pivot_table(rows.join(heads.hint("merge"), _BLOCK)))
     labels = components(_stars(shared, k))
     label = F.coalesce("label", "fp").alias("label")
     opened = saved(_open(shared.join(labels, shared["fp"] == labels["node"], "left").select(*_BLOCK, "fp", "t0", "t1", label)))
@@ -207,7 +216,7 @@ def linked(fps: DataFrame, k: int = 4, crowd: int = CROWD) -> DataFrame:
         quiet = _pairs(opened.filter(~crowded), k)
         found = quiet if found is None else found.unionByName(quiet)
         again = opened.filter(crowded).drop("major", "others").repartition(spread, "fp")
-        opened = saved(_open(dealt(again, block_keys(k, splitting_groups(most[0], k, most[1], crowd), turn))))
+        opened = saved(_open(dealt(again, block_keys(k, splitting_groups(most[0], k, most[1], crowd), turn)), exploded=True))
     last = _pairs(opened, k)
     found = last if found is None else found.unionByName(last)
     spokes = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))

@@ -58,6 +58,40 @@ def test_crowded_blocks_equal_brute_force(spark, crowd):
     assert {p: found.get(p, p) for p in values} == plain_components({p: p & (1 << 64) - 1 for p in values})
 
 
+def below_broadcasts(plan):
+    """The lines of a plan that stand below a broadcast."""
+    found, depth = [], None
+    for line in plan.split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is None or at <= depth:
+            depth = at if "BroadcastExchange" in line else None
+        else:
+            found.append(line)
+    return found
+
+
+def test_exploded_rows_and_rounds_are_not_broadcast(spark, monkeypatch):
+    plans = {"saved": [], "written": []}
+
+    def recorded(name):
+        def run(frame):
+            found = frame.checkpoint()
+            plans[name].append(frame._jdf.queryExecution().executedPlan().toString())
+            return found
+
+        return run
+
+    for name in plans:
+        monkeypatch.setattr(simhash, name, recorded(name))
+    base = 0xA5A5_1234_9876_0000
+    labels = labels_of(spark, [base ^ w for w in [*golay()[:600], 0b101]], crowd=40)
+    assert labels == dict.fromkeys(map(signed, (base, base ^ 0b101)), signed(base))
+    exploded = [p for p in plans["saved"] if "Generate explode" in p]
+    assert len(exploded) >= 3 and len(plans["written"]) >= 4
+    assert not any("Generate" in line for p in exploded for line in below_broadcasts(p))
+    assert not any("Broadcast" in p for p in plans["written"])
+
+
 def test_any_pair_within_k_bits_shares_a_block_in_every_turn():
     rng = random.Random(9)
     for turn in range(6):
